@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import tokens
+from . import mixing, reading, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +16,22 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_ids,)}
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(p8_selection(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_levels(spark, d).select("doc_id", "level")
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels with the measures of surprisal they come from."""
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_ids, p8_selection, p8_shares, p9_found, p9_levels)}
 SQL: dict[str, str] = {}
