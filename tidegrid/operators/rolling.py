@@ -11,8 +11,8 @@ from ..functions.symbols import canonical_symbol
 from ..functions.values import positive
 
 
-def valid_daily(prices: DataFrame) -> DataFrame:
-    """The last received price of each (basket, canonical symbol, date), where it is valid; spread by (basket, symbol).
+def last_daily(prices: DataFrame) -> DataFrame:
+    """The last received price ``p`` of each (basket, canonical symbol, date), null if that was null; spread by (basket, symbol).
 
     Null keys count for nothing. Of rows received at the same moment the greatest price holds (NaN is the greatest).
     One exchange by (basket, symbol) serves both groupings and every later window over the series.
@@ -25,11 +25,14 @@ def valid_daily(prices: DataFrame) -> DataFrame:
         .agg(F.max("adjusted_close").alias("p"))
         .groupBy("basket", "symbol", "date")
         .agg(F.max_by("p", "received_at").alias("p"))
-        .select("basket", "symbol", "date", positive("p").alias("value"))
-        .filter("value is not null")
     )
 
 
+def valid_daily(prices: DataFrame) -> DataFrame:
+    """The last received price (``value``) of each (basket, canonical symbol, date) where it is finite and above 0."""
+    return last_daily(prices).select("basket", "symbol", "date", positive("p").alias("value")).filter("value is not null")
+
+
 def trailing_totals(daily: DataFrame, keys: Sequence[str], date: str, value: str, periods: Sequence[int] = (7, 30)) -> DataFrame:
     """For every key and calendar day between its first and last row: count, total and average of the trailing days.
 

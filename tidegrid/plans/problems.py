@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, grid, packed, rolling, snapshots
+from ..operators import asof, grid, packed, rolling, snapshots, spikes
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,15 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.feed_grid(table(spark, d, "markets"), table(spark, d, "vix")).select("feed", "series", day(), F.round("value", 6).alias("value"), "filled")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible_prices(table(spark, d, "prices")).select(*SERIES, day())
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged readings by basket and reason."""
+    return spikes.implausible_prices(table(spark, d, "prices")).groupBy("basket", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 3).alias("most"))
+
+
 def trailing(spark: SparkSession, d: str) -> DataFrame:
     return rolling.trailing_totals(rolling.valid_daily(table(spark, d, "prices")), SERIES, "date", "value")
 
@@ -66,7 +75,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.explode_positions(packed.split_packed(rows, "tickers"), "values", value="ticker").select("snapshot_id", "pos", "ticker")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_attributes, p3_found, p3_grid, p5_found, p5_totals, p6_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_attributes, p3_found, p3_grid, p4_found, p4_reasons, p5_found, p5_totals, p6_found)}
 
 _VALUES = """regexp_extract_all(tickers, '"[^"]*"|''[^'']*''|“[^”]*”|[^,;|，\\s\\x{00A0}\\[\\]{}"''“”]+')"""
 _CANON = """replace(replace(replace(replace(replace(upper(trim({}, ' "''“”[]{{}}' || chr(9) || chr(160))), '.', '-'), '/', '-'), ',', '-'), ';', '-'), ' ', '-')"""
