@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, series
+
+PARTS = (series.cat,)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    out = dict(problems.QUERIES)
+    for part in PARTS:
+        out |= part.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.SQL)
+    out = dict(problems.SQL)
+    for part in PARTS:
+        out |= part.sql
+    return out
