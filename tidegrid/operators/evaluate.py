@@ -15,9 +15,9 @@ def alarm_threshold(scored: DataFrame, keys: Sequence[str], budgets: Sequence[fl
     That is the quantile that never lies below the exact one, so that with alarms strictly above it at most the budget
     of the negatives is alarmed. Equal scores are counted first, so a task never holds every row of a key.
     """
-    counts = scored.filter((F.col(label) == 0) & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"))
+    counts = scored.filter((F.col(label) == 0) & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*keys).orderBy(score)
-    upto = counts.withColumns({"__to": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("n").over(Window.partitionBy(*keys))})
+    upto = counts.withColumns({"__to": F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(Window.partitionBy(*keys))})
     each = upto.withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets))))
     at = F.ceil((F.lit(1.0) - F.col("budget")) * (F.col("__all") - 1))
     return each.filter(F.col("__to") > at).groupBy(*keys, "budget").agg(F.min(score).alias("threshold"))
@@ -25,18 +25,18 @@ def alarm_threshold(scored: DataFrame, keys: Sequence[str], budgets: Sequence[fl
 
 def rank_metrics(scored: DataFrame, keys: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
     """keys, n, positives, prevalence, auroc (null for one class), average_precision (null without positives); ties share ranks."""
-    g = scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("k"))
+    g = scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(label).cast("bigint")).alias("__k"))
     up = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    x = g.withColumns({"cn": F.sum("n").over(up), "dn": F.sum("n").over(down), "dk": F.sum("k").over(down), "N": F.sum("n").over(whole), "P": F.sum("k").over(whole)})
-    p, n = F.max("P").cast("double"), F.max("N").cast("double")
+    x = g.withColumns({"__cn": F.sum("__n").over(up), "__dn": F.sum("__n").over(down), "__dk": F.sum("__k").over(down), "__all": F.sum("__n").over(whole), "__pos": F.sum("__k").over(whole)})
+    p, n = F.max("__pos").cast("double"), F.max("__all").cast("double")
     return x.groupBy(*keys).agg(
-        F.max("N").alias("n"),
-        F.max("P").alias("positives"),
+        F.max("__all").alias("n"),
+        F.max("__pos").alias("positives"),
         (p / n).alias("prevalence"),
-        F.try_divide(F.sum(F.col("k") * (F.col("cn") - (F.col("n") - 1) / 2)) - p * (p + 1) / 2, F.nullif(p * (n - p), F.lit(0.0))).alias("auroc"),
-        F.sum(F.try_divide(F.col("k"), F.col("P")) * (F.col("dk") / F.col("dn"))).alias("average_precision"),
+        F.try_divide(F.sum(F.col("__k") * (F.col("__cn") - (F.col("__n") - 1) / 2)) - p * (p + 1) / 2, F.nullif(p * (n - p), F.lit(0.0))).alias("auroc"),
+        F.sum(F.try_divide(F.col("__k"), F.col("__pos")) * (F.col("__dk") / F.col("__dn"))).alias("average_precision"),
     )
 
 
@@ -80,17 +80,17 @@ def purged_splits(panel: DataFrame, keys: Sequence[str], date: str = "date", res
     test_start, test_end. Rows per key are one a day; years are few, so the join by key multiplies by years only.
     """
     years = panel.groupBy(*keys, F.year(date).alias("year")).agg(F.min(date).alias("test_start"), F.max(date).alias("test_end"))
-    rows = panel.filter(F.col(resolved).isNotNull()).select(*keys, F.col(date).alias("d"), F.col(resolved).alias("e"))
-    known = years.join(rows, list(keys)).filter(F.col("e") < F.make_date(F.col("year"), F.lit(1), F.lit(1)))
-    w = Window.partitionBy(*keys, "year").orderBy(F.desc("d"))
-    ranked = known.withColumn("r", F.row_number().over(w))
-    cal = ranked.withColumn("__c", F.min(F.when(F.col("r") <= calibration, F.col("d"))).over(Window.partitionBy(*keys, "year")))
+    rows = panel.filter(F.col(resolved).isNotNull()).select(*keys, F.col(date).alias("__d"), F.col(resolved).alias("__e"))
+    known = years.join(rows, list(keys)).filter(F.col("__e") < F.make_date(F.col("year"), F.lit(1), F.lit(1)))
+    w = Window.partitionBy(*keys, "year").orderBy(F.desc("__d"))
+    ranked = known.withColumn("__r", F.row_number().over(w))
+    cal = ranked.withColumn("__c", F.min(F.when(F.col("__r") <= calibration, F.col("__d"))).over(Window.partitionBy(*keys, "year")))
     out = cal.groupBy(*keys, "year", "test_start", "test_end").agg(
         F.count(F.lit(1)).alias("known"),
-        F.count_if(F.col("e") < F.col("__c")).alias("fit_rows"),
-        F.max(F.when(F.col("e") < F.col("__c"), F.col("e"))).alias("fit_label_end"),
+        F.count_if(F.col("__e") < F.col("__c")).alias("fit_rows"),
+        F.max(F.when(F.col("__e") < F.col("__c"), F.col("__e"))).alias("fit_label_end"),
         F.min("__c").alias("calibration_start"),
-        F.max(F.when(F.col("d") >= F.col("__c"), F.col("e"))).alias("calibration_label_end"),
+        F.max(F.when(F.col("__d") >= F.col("__c"), F.col("__e"))).alias("calibration_label_end"),
     )
     return out.filter((F.col("known") >= least) & (F.col("fit_rows") >= least_fit))
 

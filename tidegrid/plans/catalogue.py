@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, series
+from . import evaluation, problems, relational, series, streams, topology
 
-PARTS = (series.cat,)
+PARTS = (relational.cat, series.cat, evaluation.cat, topology.cat, streams.cat)
 
 
 def queries() -> dict:
