@@ -67,13 +67,15 @@ def window_chunks(panel: DataFrame, entity: Sequence[str], k: int, chunk: int =
 def matrix_windows(pdf: pd.DataFrame, member: str, value: str, k: int, chunk: int, least: int, still: float = kernels.STILL):
     """(session, date, members, k x n block) of every full session of one chunk with at least ``least`` complete members."""
     number = int(pdf["chunk"].iloc[0])
-    wide = pdf.pivot_table(index="session", columns=member, values=value, dropna=False)
-    dates = pdf.drop_duplicates("session").set_index("session")["date"]
-    wide = wide.reindex(range(int(wide.index.min()), int(wide.index.max()) + 1))
-    names, block, first = wide.columns.to_numpy(), wide.to_numpy(dtype=float), int(wide.index[0])
+    at_session = pdf["session"].to_numpy()
+    column, names = pd.factorize(pdf[member], sort=True)
+    first = int(at_session.min())
+    block = np.full((int(at_session.max()) - first + 1, len(names)), np.nan)
+    block[at_session - first, column] = pdf[value].to_numpy(dtype=float)
+    dates = dict(zip(at_session.tolist(), pdf["date"]))
     for session in range(number * chunk + 1, (number + 1) * chunk + 1):
         at = session - first
-        if at - k + 1 < 0 or at >= len(block) or session not in dates.index:
+        if at - k + 1 < 0 or session not in dates:
             continue
         window = block[at - k + 1 : at + 1]
         ok = np.isfinite(window).all(axis=0)
