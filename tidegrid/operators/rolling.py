@@ -11,17 +11,37 @@ from ..functions.symbols import canonical_symbol
 from ..functions.values import positive
 
 
-def last_daily(prices: DataFrame) -> DataFrame:
+#: A series with more rows than this holds far more deliveries than days, and is combined before it is brought together.
+CROWDED = 50_000
+#: Up to so many crowded series are told apart by a list; beyond, every series is combined first.
+MOST_CROWDED = 1_000
+
+
+def last_daily(prices: DataFrame, crowded: int = CROWDED, most: int = MOST_CROWDED) -> DataFrame:
     """The last received price ``p`` of each (basket, canonical symbol, date), null if that was null; spread by (basket, symbol).
 
-    Null keys count for nothing. Of rows received at the same moment the greatest price holds (NaN is the greatest).
-    One exchange by (basket, symbol) serves both groupings and every later window over the series.
+    Null keys count for nothing; a null moment of receipt is earlier than any. Of rows received at the same moment the
+    greatest price holds (NaN is the greatest). One exchange by (basket, symbol) serves both groupings and every later window over the series. A series has one row a
+    day after them, but may have any number of deliveries before: the rows of such crowded series, found by a count
+    that is combined on the map side, are first reduced to one per day and moment where they lie.
     """
-    rows = prices.select("basket", canonical_symbol("symbol").alias("symbol"), "date", "adjusted_close", "received_at")
+    keys = ["basket", "symbol", "date", "received_at"]
+    moment = prices.schema["received_at"].dataType
+    received = F.coalesce("received_at", F.lit("0001-01-01 00:00:00").cast(moment)).alias("received_at")
+    rows = prices.select("basket", canonical_symbol("symbol").alias("symbol"), "date", "adjusted_close", received)
+    rows = rows.filter("basket is not null and symbol is not null and date is not null")
+    reduced = lambda df: df.groupBy(*keys).agg(F.max("adjusted_close").alias("adjusted_close")).groupBy(*keys[:3]).agg(F.max_by("adjusted_close", "received_at").alias("adjusted_close"), F.max("received_at").alias("received_at"))
+    count = prices.groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded // 8)
+    found = count.groupBy("basket", canonical_symbol("symbol").alias("symbol")).agg(F.sum("n").alias("n")).filter((F.col("n") > crowded) & F.col("symbol").isNotNull() & F.col("basket").isNotNull())
+    hot = found.select("basket", "symbol").limit(most + 1).collect()
+    if len(hot) > most:
+        rows = reduced(rows)
+    elif hot:
+        names = F.broadcast(prices.sparkSession.createDataFrame([tuple(r) for r in hot], "basket string, symbol string"))
+        rows = rows.join(names, ["basket", "symbol"], "left_anti").unionByName(reduced(rows.join(names, ["basket", "symbol"], "left_semi")))
     return (
-        rows.filter("basket is not null and symbol is not null and date is not null")
-        .repartition("basket", "symbol")
-        .groupBy("basket", "symbol", "date", "received_at")
+        rows.repartition("basket", "symbol")
+        .groupBy(*keys)
         .agg(F.max("adjusted_close").alias("p"))
         .groupBy("basket", "symbol", "date")
         .agg(F.max_by("p", "received_at").alias("p"))
