@@ -74,3 +74,37 @@ def test_scalars(spark):
     df = spark.createDataFrame([("<a & 'b'>", 0.0, 1704067200)], "s string, z double, e bigint")
     got = df.select(scalars.escape_html("s"), scalars.normal_cdf("z"), scalars.epoch_to_date("e", "America/New_York").cast("string"), scalars.decompress(scalars.compress("s")).cast("string"), scalars.compress("s")).first()
     assert got[0] == "&lt;a &amp; &#x27;b&#x27;&gt;" and got[1] == 0.5 and got[2] == "2023-12-31" and got[3] == "<a & 'b'>" and zlib.decompress(bytes(got[4])).decode() == "<a & 'b'>"
+
+
+def test_http_source(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tidegrid.sources import http
+
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            key = self.path.rsplit("/", 1)[1]
+            seen.append(key)
+            busy = key == "B" and seen.count("B") == 1
+            self.send_response(429 if busy else 404 if key == "gone" else 200)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            if not busy and key != "gone":
+                self.wfile.write(b'{"v": "' + key.encode() + b'"}')
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        df = http.read_json_http(spark, f"http://127.0.0.1:{server.server_port}/{{key}}", ["A", "B", "gone"], wait=0.01, archive=tmp_path / "kept")
+        got = {r["key"]: (r["status"], r["body"]) for r in df.collect()}
+    finally:
+        server.shutdown()
+    assert got == {"A": (200, '{"v": "A"}'), "B": (200, '{"v": "B"}'), "gone": (404, None)}
+    assert len(list((tmp_path / "kept").iterdir())) == 2
+    assert http.wait_of("900") == 30 and http.wait_of(None) == 2 and http.wait_of("soon") == 2 and http.wait_of("7") == 7

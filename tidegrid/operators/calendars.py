@@ -68,7 +68,7 @@ def membership_intervals(members: DataFrame, snapshots: DataFrame, entity: Seque
 
 def window_before(events: DataFrame, calendar: DataFrame, keys: Sequence[str], onset: str, rows: int = 20) -> DataFrame:
     """Each event with the ``rows`` sessions strictly before its onset session: an equi-join on exploded session numbers."""
-    asked = events.withColumn("session", F.explode(F.sequence(F.greatest(F.col(onset) - rows, F.lit(1)), F.col(onset) - 1))).filter(F.col("session") >= 1)
+    asked = events.withColumn("session", F.explode(F.sequence(F.greatest(F.col(onset) - rows, F.lit(1)), F.col(onset) - 1))).filter((F.col("session") >= 1) & (F.col("session") < F.col(onset)))
     return asked.join(calendar, [*keys, "session"])
 
 

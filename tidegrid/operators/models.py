@@ -29,23 +29,32 @@ def scores_of(fit: np.ndarray | float, x: np.ndarray) -> np.ndarray:
     return np.full(len(x), fit) if isinstance(fit, float) else 1 / (1 + np.exp(-np.clip(fit[0] + x @ fit[1:], -35, 35)))
 
 
-def inner_score(x: np.ndarray, y: np.ndarray, date: np.ndarray, end: np.ndarray, c: float, penalty: str, start: float = 0.4, history: int | None = None) -> float:
-    """Average precision over two blocks behind the first ``start`` share, each fitted on the rows resolved before it; -1 without positives."""
+def inner_score(x: np.ndarray, y: np.ndarray, date: np.ndarray, end: np.ndarray, c: float, penalty: str, start: float = 0.4, history: int | None = None, classic: bool = False) -> float:
+    """Average precision over two blocks behind the first ``start`` share, each fitted on the rows resolved before it.
+
+    Fits of one class give their prevalence, and -1 is returned without positives. ``classic`` averages over the blocks that
+    have both classes in both parts instead, and returns minus infinity if there is none.
+    """
     n = len(y)
     edges = np.linspace(int(start * n), n, 3).astype(int)
-    got, want = [], []
+    got, want, each = [], [], []
     for a, z in zip(edges[:-1], edges[1:]):
         if a == z:
             continue
         train = np.flatnonzero(end < date[a])
         train = train[-history:] if history else train
+        if classic and (len(np.unique(y[train])) < 2 or len(np.unique(y[a:z])) < 2):
+            continue
         got.append(scores_of(scale_fit(x[train], y[train], c, penalty), x[a:z]))
         want.append(y[a:z])
+        each.append(kernels.average_precision(want[-1], got[-1]))
+    if classic:
+        return float(np.mean(each)) if each else -np.inf
     ap = kernels.average_precision(np.concatenate(want), np.concatenate(got)) if want else None
     return -1.0 if ap is None else ap
 
 
-def walk_forward(panel: DataFrame, keys: Sequence[str], groups: Mapping[str, Sequence[str]], penalties: Sequence[float] = PENALTIES, penalty: str = "l2", calibration: int = 252, least: int = 525, least_fit: int = 252, history: int | None = None) -> DataFrame:
+def walk_forward(panel: DataFrame, keys: Sequence[str], groups: Mapping[str, Sequence[str]], penalties: Sequence[float] = PENALTIES, penalty: str = "l2", calibration: int = 252, least: int = 525, least_fit: int = 252, history: int | None = None, classic: bool = False) -> DataFrame:
     """Annual purged walk-forward scores: keys, year, model, c, inner_ap, constant_fallback, part (calibration, test), date, label, score.
 
     ``panel`` has date, label, label_end and the columns of all groups; rows with a null column, NaN or infinity are left out
@@ -68,12 +77,13 @@ def walk_forward(panel: DataFrame, keys: Sequence[str], groups: Mapping[str, Seq
         known = ~np.isnat(end) & (end < first)
         fit = np.flatnonzero(known & (end < cal))
         held = {"calibration": np.flatnonzero(known & (date >= cal)), "test": np.flatnonzero((date >= first) & (date < first.astype("datetime64[Y]") + 1))}
-        inner = [inner_score(x[fit], y[fit], date[fit], end[fit], c, penalty, history=history) for c in penalties]
+        inner = [inner_score(x[fit], y[fit], date[fit], end[fit], c, penalty, history=history, classic=classic) for c in penalties]
         best = int(np.argmax(inner))
         train = fit[-history:] if history else fit
         model = scale_fit(x[train], y[train], penalties[best], penalty)
+        score = inner[best] if np.isfinite(inner[best]) else None
         out = [
-            (*own, year, name, penalties[best], inner[best], isinstance(model, float), part, pd.Timestamp(date[i]).date(), None if np.isnan(y[i]) else int(y[i]), float(s))
+            (*own, year, name, penalties[best], score, isinstance(model, float), part, pd.Timestamp(date[i]).date(), None if np.isnan(y[i]) else int(y[i]), float(s))
             for part, at in held.items()
             for i, s in zip(at, scores_of(model, x[at]))
         ]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, problems, relational, series, streams, topology
+from . import evaluation, problems, relational, series, streams, studies, topology
 
-PARTS = (relational.cat, series.cat, evaluation.cat, topology.cat, streams.cat)
+PARTS = (relational.cat, series.cat, evaluation.cat, topology.cat, studies.cat, streams.cat)
 
 
 def queries() -> dict:

@@ -186,6 +186,13 @@ def q_walk_forward_lasso(spark, d):
     return evaluate.rank_metrics(walk(spark, d, "l1").filter("part = 'test'"), ["k", "model"])
 
 
+@cat.add()
+def q_walk_forward_classic(spark, d):
+    """The same with candidates chosen over two-class blocks only."""
+    x = models.walk_forward(features(spark, d), ["k"], GROUPS, penalties=(0.1, 1.0), classic=True)
+    return evaluate.rank_metrics(x.filter("part = 'test'"), ["k", "model"])
+
+
 @cat.add()
 def q_ensemble(spark, d):
     """The mean of two groups' scores, with thresholds of its own."""

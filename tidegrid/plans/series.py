@@ -208,6 +208,18 @@ def q_event_summary(spark, d):
     return islands.event_summary(leads(spark, d), ["k"])
 
 
+@cat.add(f"""WITH {SCORED}, {EVENTS}, cal AS (SELECT k, date, row_number() OVER (PARTITION BY k ORDER BY date) AS s FROM rev), pk AS (SELECT e.k, e.event, e.peak, c.s AS ps FROM events_ e JOIN cal c ON c.k = e.k AND c.date = e.peak)
+SELECT p.k, p.event::INT AS event, strftime(p.peak, '%Y-%m-%d') AS peak, count(*) FILTER (x.alarm) AS alarm_days, (p.ps - min(c.s) FILTER (x.alarm))::INT AS lead_sessions FROM pk p JOIN cal c ON c.k = p.k AND c.s BETWEEN p.ps - 60 AND p.ps - 1 LEFT JOIN ev x ON x.k = c.k AND x.date = c.date GROUP BY p.k, p.event, p.peak, p.ps""")
+def q_peak_leads(spark, d):
+    """Alarms in the 60 sessions before each peak, and the lead of the first."""
+    calendar = calendars.sessions(revenue(spark, d), ["k"])
+    peaks = islands.drawdown_events(revenue(spark, d), ["k"], "p").select("k", "event", F.col("peak").alias("date")).join(calendar, ["k", "date"])
+    peaks = peaks.select("k", "event", F.col("date").alias("peak"), F.col("session").alias("at"))
+    days = calendars.window_before(peaks, calendar, ["k"], "at", 60).join(scored(spark, d).select("k", "date", "alarm"), ["k", "date"], "left")
+    out = days.groupBy("k", "event", "peak", "at").agg(F.count_if("alarm").alias("alarm_days"), F.min(F.when(F.col("alarm"), F.col("session"))).alias("first"))
+    return out.select("k", "event", text_date("peak"), "alarm_days", (F.col("at") - F.col("first")).alias("lead_sessions"))
+
+
 @cat.add(f"""WITH {SCORED}, a AS (SELECT *, (alarm AND NOT coalesce(lag(alarm) OVER (PARTITION BY k ORDER BY date), false))::INT AS s FROM ev), b AS (SELECT *, sum(s) OVER (PARTITION BY k ORDER BY date) AS e FROM a)
 SELECT k, e::BIGINT AS episode, strftime(min(date), '%Y-%m-%d') AS first, strftime(max(date), '%Y-%m-%d') AS last, count(*) AS rows, max(coalesce(label, 0))::INT AS positive FROM b WHERE alarm GROUP BY k, e""")
 def q_alarm_episodes(spark, d):
