@@ -35,15 +35,12 @@ def change_histories(versions: DataFrame, entity: Sequence[str], key: str, field
     repeated for attributes that did not change, so no wide version rows arise.
     """
     changes = snapshot_changes(versions, entity, "known_from", "items", key, list(fields), first=True)
-    now = versions.select(*entity, "known_from", F.explode("items").alias("i")).select(*entity, "known_from", F.col(f"i.{key}").alias(key), *(F.col(f"i.{f}").cast("string").alias(f) for f in fields))
-    now = now.groupBy(*entity, "known_from", key).agg(*(F.first(f).alias(f) for f in fields))
-    both = changes.join(now, [*entity, "known_from", key], "left")
     gone = F.col("change") == "removed"
     cells = [
         F.struct(F.lit("present").alias("attribute"), F.when(gone, None).otherwise(F.lit("true")).alias("value"), (F.col("change") != "changed").alias("use")),
-        *(F.struct(F.lit(f).alias("attribute"), F.when(~gone, F.col(f)).alias("value"), (gone | F.array_contains("fields", f)).alias("use")) for f in fields),
+        *(F.struct(F.lit(f).alias("attribute"), F.when(~gone, F.col("now")[f]).alias("value"), (gone | F.array_contains("fields", f)).alias("use")) for f in fields),
     ]
-    return both.select(*entity, key, F.col("known_from").alias("day"), F.explode(F.array(*cells)).alias("c")).filter("c.use").select(*entity, key, "day", "c.attribute", "c.value")
+    return changes.select(*entity, key, F.col("known_from").alias("day"), F.explode(F.array(*cells)).alias("c")).filter("c.use").select(*entity, key, "day", "c.attribute", "c.value")
 
 
 def attach_known(events: DataFrame, histories: DataFrame, keys: Sequence[str], day: str, attributes: Mapping[str, str]) -> DataFrame:

@@ -22,7 +22,7 @@ def snapshot_changes(snapshots: DataFrame, entity: Sequence[str], version: str,
     entity's first snapshot adds all its keys, else it gives no rows. Other columns are ignored; no rows give no rows.
 
     Result: entity, version, key, ``change`` (added, removed, changed), ``fields`` (sorted names of the changed fields,
-    all of them for added and removed). Every snapshot is unpivoted into cells (key, field, value) that count +1 for their
+    all of them for added and removed), ``now`` (map of those fields to their values in the later snapshot, as strings). Every snapshot is unpivoted into cells (key, field, value) that count +1 for their
     own version and -1 for the next one, so that equal cells cancel; the sums that stay tell what differs. The window
     over an entity has one row per version; the cells are spread by entity, version and key, so no entity is one task.
     """
@@ -49,11 +49,12 @@ def snapshot_changes(snapshots: DataFrame, entity: Sequence[str], version: str,
         .agg(F.sum("__sign").alias("__sum"))
         .filter(F.col("__sum") != 0)
     )
+    entry = F.when((F.col("__field") != PRESENT) & (F.col("__sum") > 0), F.struct("__field", "__value"))
     here = F.coalesce(F.max(F.when(F.col("__field") == PRESENT, F.col("__sum"))), F.lit(0))
     return (
         left.groupBy(*entity, version, key)
-        .agg(here.alias("__here"), F.sort_array(F.collect_set(F.when(F.col("__field") != PRESENT, F.col("__field")))).alias("fields"))
-        .select(*entity, version, key, F.when(F.col("__here") > 0, "added").when(F.col("__here") < 0, "removed").otherwise("changed").alias("change"), "fields")
+        .agg(here.alias("__here"), F.sort_array(F.collect_set(F.when(F.col("__field") != PRESENT, F.col("__field")))).alias("fields"), F.map_from_entries(F.collect_list(entry)).alias("now"))
+        .select(*entity, version, key, F.when(F.col("__here") > 0, "added").when(F.col("__here") < 0, "removed").otherwise("changed").alias("change"), "fields", "now")
     )
 
 
