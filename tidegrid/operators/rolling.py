@@ -31,13 +31,11 @@ def last_daily(prices: DataFrame, crowded: int = CROWDED, most: int = MOST_CROWD
     rows = prices.select("basket", canonical_symbol("symbol").alias("symbol"), "date", "adjusted_close", received)
     rows = rows.filter("basket is not null and symbol is not null and date is not null")
     reduced = lambda df: df.groupBy(*keys).agg(F.max("adjusted_close").alias("adjusted_close")).groupBy(*keys[:3]).agg(F.max_by("adjusted_close", "received_at").alias("adjusted_close"), F.max("received_at").alias("received_at"))
-    count = prices.groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded // 8)
-    found = count.groupBy("basket", canonical_symbol("symbol").alias("symbol")).agg(F.sum("n").alias("n")).filter((F.col("n") > crowded) & F.col("symbol").isNotNull() & F.col("basket").isNotNull())
-    hot = found.select("basket", "symbol").limit(most + 1).collect()
+    hot = crowded_series(prices, crowded, most)
     if len(hot) > most:
         rows = reduced(rows)
     elif hot:
-        names = F.broadcast(prices.sparkSession.createDataFrame([tuple(r) for r in hot], "basket string, symbol string"))
+        names = F.broadcast(prices.sparkSession.createDataFrame(hot, "basket string, symbol string"))
         rows = rows.join(names, ["basket", "symbol"], "left_anti").unionByName(reduced(rows.join(names, ["basket", "symbol"], "left_semi")))
     return (
         rows.repartition("basket", "symbol")
@@ -48,6 +46,20 @@ def last_daily(prices: DataFrame, crowded: int = CROWDED, most: int = MOST_CROWD
     )
 
 
+def crowded_series(prices: DataFrame, crowded: int, most: int) -> list[tuple[str, str]]:
+    """Up to ``most`` + 1 (basket, canonical symbol) with more than ``crowded`` rows.
+
+    Rows are first counted by a hash of the key, which costs little; only if some hash has many are keys counted.
+    """
+    bucket = F.pmod(F.hash("basket", "symbol"), F.lit(1 << 20))
+    if not prices.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded // 8).take(1):
+        return []
+    count = prices.groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded // 8)
+    found = count.groupBy("basket", canonical_symbol("symbol").alias("symbol")).agg(F.sum("n").alias("n"))
+    found = found.filter((F.col("n") > crowded) & F.col("symbol").isNotNull() & F.col("basket").isNotNull())
+    return [(r["basket"], r["symbol"]) for r in found.select("basket", "symbol").limit(most + 1).collect()]
+
+
 def valid_daily(prices: DataFrame) -> DataFrame:
     """The last received price (``value``) of each (basket, canonical symbol, date) where it is finite and above 0."""
     return last_daily(prices).select("basket", "symbol", "date", positive("p").alias("value")).filter("value is not null")
