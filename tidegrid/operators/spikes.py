@@ -22,7 +22,7 @@ from .rolling import last_daily
 class Limits:
     """Parameters of the tests; scales are those of the series itself."""
 
-    spike: float = 11.5  #: usual moves that a reading stands away from both sides
+    spike: float = 10.3  #: usual moves that a reading stands away from both sides
     shift: float = 6.0  #: usual moves from which a move is tested at all
     back: float = 0.5  #: a move is undone if what is left of it is at most this share of the outlier
     longest: int = 5  #: most consecutive readings of one outlier
