@@ -17,14 +17,25 @@ _classes: dict[int, int] = {}
 def char_class(c: int) -> int:
     """White space, letter, number or other, by the Unicode properties of one code point."""
     if c not in _classes:
-        import unicodedata
-
-        kind = unicodedata.category(chr(c))
-        space = kind[0] == "Z" or 9 <= c <= 13 or c == 0x85
-        _classes[c] = SPACE if space else LETTER if kind[0] == "L" else NUMBER if kind[0] == "N" else OTHER
+        _classes[c] = _classify(chr(c))
     return _classes[c]
 
 
+try:  # the newer tables, where they are installed
+    import regex
+
+    def _classify(s: str) -> int:
+        return SPACE if regex.match(r"\s", s) else LETTER if regex.match(r"\p{L}", s) else NUMBER if regex.match(r"\p{N}", s) else OTHER
+
+except ImportError:
+    import unicodedata
+
+    def _classify(s: str) -> int:
+        kind = unicodedata.category(s)
+        space = kind[0] == "Z" or 9 <= ord(s) <= 13 or ord(s) == 0x85
+        return SPACE if space else LETTER if kind[0] == "L" else NUMBER if kind[0] == "N" else OTHER
+
+
 _ASCII = np.array([char_class(c) for c in range(128)] + [OTHER] * 128, dtype=np.uint8)
 
 
