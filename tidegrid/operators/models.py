@@ -114,11 +114,19 @@ def frozen_scores(coefficients: Mapping[str, float], intercept: float, features:
 
 
 def tree_scores(train: DataFrame, test: DataFrame, columns: Sequence[str], kind: str = "forest", depth: int = 5, trees: int = 200, seed: int = 42) -> DataFrame:
-    """``test`` with ``score``, the probability of label 1 by an MLlib random forest or boosted trees fitted on ``train``."""
+    """``test`` with ``score``, the probability of label 1 by an MLlib random forest or boosted trees fitted on ``train``.
+
+    Rows with a null or NaN among ``columns`` are left out of both. A training set of one class or of no rows gives its
+    prevalence (0 for none) to every row.
+    """
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    train, test = train.dropna(subset=[*columns, "label"]), test.dropna(subset=list(columns))
+    n, hits = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < hits < n:
+        return test.withColumn("score", F.lit(hits / n if n else 0.0))
     vectors = VectorAssembler(inputCols=list(columns), outputCol="__x", handleInvalid="skip")
     common = {"featuresCol": "__x", "labelCol": "label", "seed": seed, "maxDepth": depth}
     model = (
@@ -126,7 +134,7 @@ def tree_scores(train: DataFrame, test: DataFrame, columns: Sequence[str], kind:
         if kind == "forest"
         else GBTClassifier(maxIter=min(trees, 100), stepSize=0.04, subsamplingRate=0.8, minInstancesPerNode=10, **common)
     )
-    fitted = model.fit(vectors.transform(train.filter("label is not null")))
+    fitted = model.fit(vectors.transform(train))
     return fitted.transform(vectors.transform(test)).withColumn("score", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
 
 
