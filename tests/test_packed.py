@@ -29,6 +29,10 @@ def test_long_field():
     assert Segmenter(KNOWN)(",".join(names)) == names
 
 
+def test_many_quotes_that_never_close():
+    assert Segmenter(KNOWN)("“" * 300_000 + "QORVEX") == ["QORVEX"]
+
+
 def test_broadcast_and_join_agree(spark):
     df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(FIELDS)], "id int, tickers string, values string")
     known = spark.createDataFrame([(k,) for k in KNOWN], "value string")

@@ -46,10 +46,13 @@ class Segmenter:
         out: list[str] = []
         at = start = 0
         n = len(text)
+        open_for_good: set[str] = set()  # closing quotes that don't come any more, so that each is sought once in vain
         while at < n:
             close = QUOTES.get(text[at])
             fresh = at == 0 or text[at - 1] in DELIMITERS or text[at - 1] in QUOTES or text[at - 1] in QUOTES.values()
-            end = text.find(close, at + 1) if close and fresh else -1
+            end = text.find(close, at + 1) if close and fresh and close not in open_for_good else -1
+            if close and fresh and end < 0:
+                open_for_good.add(close)
             if end >= 0:
                 out += self.cover(text[start:at])
                 out.append(canonical_text(text[at + 1 : end]))
