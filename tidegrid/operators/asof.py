@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import canonical_symbol
+from .calendars import as_of
 from .snapshots import deliveries_with_values, snapshot_changes
 
 
@@ -87,3 +88,21 @@ def membership_as_known(prices: DataFrame, membership: DataFrame) -> DataFrame:
     histories = change_histories(versions.withColumnRenamed("date", "__date"), ["basket"], "ticker", {"units": "int"})
     histories = histories.withColumnRenamed("ticker", "symbol")
     return attach_known(series_days(prices), histories, ["basket", "symbol"], "date", {"present": "boolean", "units": "int"})
+
+
+def member_spans(calendar: DataFrame, membership: DataFrame) -> DataFrame:
+    """The sessions from ``first`` to ``last`` on which one version of a basket's members was the known one: basket, symbol, first, last.
+
+    ``calendar`` has basket, date and session; a delivery counts by the end of the day from which it is known. Members without
+    any price are there too; sessions on which no delivery was known lie in no span. Sessions are matched to versions by
+    basket alone, before a version's names are spread.
+    """
+    versions = known_versions(deliveries_with_values(membership), ["basket"], "date", "received_at", "snapshot_id").select("basket", "known_from", "items")
+    matched = as_of(calendar, versions.select("basket", F.col("known_from").alias("date"), "known_from"), ["basket"], ["known_from"]).filter("known_from is not null")
+    spans = matched.groupBy("basket", "known_from").agg(F.min("session").alias("first"), F.max("session").alias("last"))
+    return spans.join(versions, ["basket", "known_from"]).select("basket", F.explode(F.array_distinct("items.ticker")).alias("symbol"), "first", "last").filter("symbol is not null")
+
+
+def members_by_session(calendar: DataFrame, spans: DataFrame) -> DataFrame:
+    """The members of each basket on each of its sessions: basket, symbol, session, date."""
+    return spans.select("basket", "symbol", F.explode(F.sequence("first", "last")).alias("session")).join(calendar.select("basket", "session", "date"), ["basket", "session"])

@@ -54,6 +54,34 @@ def coverage(marked: DataFrame, entity: Sequence[str], member: str, price: str,
     return out.withColumn("status", F.when(F.col("eligible_sessions") > 0, "used").when(F.col("valid_prices") == 0, "no valid prices").otherwise("no complete window"))
 
 
+def with_members(panel: DataFrame, spans: DataFrame, entity: Sequence[str], member: str) -> DataFrame:
+    """``panel`` with ``member_now``, whether the session lies in a span of the row's member; no row is dropped, as windows reach back before the joining.
+
+    A member's spans (``first``, ``last``) come as one array, so the join keeps to the exchange that the returns need.
+    """
+    own = spans.groupBy(*entity, member).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+    inside = F.exists("__spans", lambda x: F.col("session").between(x["first"], x["last"]))
+    return panel.join(own, [*entity, member], "left").withColumn("member_now", F.coalesce(inside, F.lit(False))).drop("__spans")
+
+
+#: Why a member has no part in a session's window.
+UNRESOLVED, INCOMPLETE = "unresolved price symbol", "incomplete 60-session returns or constant"
+
+
+def member_status(members: DataFrame, listed: DataFrame, marked: DataFrame, entity: Sequence[str], member: str) -> DataFrame:
+    """``members`` with ``reason``, null for the eligible: ``listed`` has the members with price rows, ``marked`` is a panel with ``complete``."""
+    complete = marked.filter("complete").select(*entity, member, "session", F.lit(True).alias("__ok"))
+    x = members.join(listed.select(*entity, member, F.lit(True).alias("__listed")), [*entity, member], "left").join(complete, [*entity, member, "session"], "left")
+    return x.withColumn("reason", F.when(F.col("__listed").isNull(), UNRESOLVED).when(F.col("__ok").isNull(), INCOMPLETE)).drop("__listed", "__ok")
+
+
+def member_coverage(calendar: DataFrame, status: DataFrame, entity: Sequence[str]) -> DataFrame:
+    """Expected, mapped, eligible, missing and excluded members of every session of ``calendar``, 0 where none was known."""
+    missing, excluded = F.count_if(F.col("reason") == UNRESOLVED), F.count_if(F.col("reason") == INCOMPLETE)
+    n = status.groupBy(*entity, "session").agg(F.count(F.lit(1)).alias("expected_members"), (F.count(F.lit(1)) - missing).alias("mapped"), F.count_if(F.col("reason").isNull()).alias("eligible"), missing.alias("missing_symbols"), excluded.alias("excluded_incomplete_or_constant"))
+    return calendar.join(n, [*entity, "session"], "left").fillna(0, ["expected_members", "mapped", "eligible", "missing_symbols", "excluded_incomplete_or_constant"])
+
+
 def window_chunks(panel: DataFrame, entity: Sequence[str], k: int, chunk: int = CHUNK) -> DataFrame:
     """Each row once for every chunk of sessions whose windows of k rows hold it: with ``chunk`` numbered from 0.
 
@@ -64,38 +92,44 @@ def window_chunks(panel: DataFrame, entity: Sequence[str], k: int, chunk: int =
     return panel.withColumn("chunk", F.explode(F.sequence(first, last)))
 
 
-def matrix_windows(pdf: pd.DataFrame, member: str, value: str, k: int, chunk: int, least: int, still: float = kernels.STILL):
-    """(session, date, members, k x n block) of every full session of one chunk with at least ``least`` complete members."""
+def matrix_windows(pdf: pd.DataFrame, member: str, value: str, k: int, chunk: int, least: int, still: float = kernels.STILL, active: str | None = None):
+    """(session, date, members, k x n block) of every full session of one chunk with at least ``least`` complete members.
+
+    ``active`` names a column that is true where a row's member belongs to its session; others have no part in its window.
+    """
     number = int(pdf["chunk"].iloc[0])
     at_session = pdf["session"].to_numpy()
     column, names = pd.factorize(pdf[member], sort=True)
     first = int(at_session.min())
     block = np.full((int(at_session.max()) - first + 1, len(names)), np.nan)
     block[at_session - first, column] = pdf[value].to_numpy(dtype=float)
+    use = np.full(block.shape, active is None)
+    if active is not None:
+        use[at_session - first, column] = pdf[active].to_numpy(dtype=bool)
     dates = dict(zip(at_session.tolist(), pdf["date"]))
     for session in range(number * chunk + 1, (number + 1) * chunk + 1):
         at = session - first
         if at - k + 1 < 0 or session not in dates:
             continue
         window = block[at - k + 1 : at + 1]
-        ok = np.isfinite(window).all(axis=0)
+        ok = np.isfinite(window).all(axis=0) & use[at]
         ok[ok] = window[:, ok].std(axis=0) > still
         if ok.sum() >= least:
             yield session, dates[session], names[ok], window[:, ok]
 
 
-def rolling_blocks(panel: DataFrame, entity: Sequence[str], member: str, kernel: Callable, schema: str, value: str = "r", k: int = 60, chunk: int = CHUNK, least: int = 3) -> DataFrame:
-    """``kernel(session, date, members, block)`` -> rows (tuples) of ``schema`` for every window of every entity."""
+def rolling_blocks(panel: DataFrame, entity: Sequence[str], member: str, kernel: Callable, schema: str, value: str = "r", k: int = 60, chunk: int = CHUNK, least: int = 3, active: str | None = None) -> DataFrame:
+    """``kernel(session, date, members, block)`` -> rows (tuples) of ``schema`` for every window of every entity, of its ``active`` members if named."""
     keys = [*entity, "chunk"]
     kinds = {f.name: f.dataType.simpleString() for f in panel.schema.fields}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*key[:-1], *row) for window in matrix_windows(pdf, member, value, k, chunk, least) for row in kernel(*window)]
+        rows = [(*key[:-1], *row) for window in matrix_windows(pdf, member, value, k, chunk, least, active=active) for row in kernel(*window)]
         return pd.DataFrame(rows, columns=names)
 
     full = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", " + schema
     names = [part.strip().split(" ")[0].strip("`") for part in _split_schema(full)]
-    rows = panel.filter(F.col(value).isNotNull()).select(*entity, member, "session", "date", value)
+    rows = panel.filter(F.col(value).isNotNull()).select(*entity, member, "session", "date", value, *([active] if active else []))
     return window_chunks(rows, entity, k, chunk).groupBy(*keys).applyInPandas(run, full)
 
 
@@ -117,7 +151,7 @@ FEATURES = [
 ]
 
 
-def topology_features(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1) -> DataFrame:
+def topology_features(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r", active: str | None = None) -> DataFrame:
     """Per entity and session: n_assets, the summary features, ``bars`` (dimension 1), Betti curves, landscape and persistence image."""
 
     def kernel(session, date, members, block):
@@ -125,7 +159,7 @@ def topology_features(panel: DataFrame, entity: Sequence[str], member: str, k: i
         yield (session, date, features["n_assets"], *(features[c] for c in FEATURES), [{"birth": float(b), "death": float(d)} for b, d in bars], curves["betti0"].tolist(), curves["betti1"].tolist(), curves["landscape"].tolist(), kernels.persistence_image(bars).tolist())
 
     schema = "session int, date date, n_assets int, " + ", ".join(f"{c} double" for c in FEATURES) + ", bars array<struct<birth:double,death:double>>, betti0 array<int>, betti1 array<int>, landscape array<double>, image array<double>"
-    return rolling_blocks(panel, entity, member, kernel, schema, k=k)
+    return rolling_blocks(panel, entity, member, kernel, schema, value, k, active=active)
 
 
 def diagram_velocity(topology: DataFrame, entity: Sequence[str]) -> DataFrame:
@@ -141,7 +175,7 @@ def diagram_velocity(topology: DataFrame, entity: Sequence[str]) -> DataFrame:
     return x.withColumn("w2_per_sqrt_asset", distance("bars", "__bars") / F.sqrt((F.col("n_assets") + F.col("__n")) / 2)).drop("__bars", "__n")
 
 
-def correlation_pairs(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1) -> DataFrame:
+def correlation_pairs(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r", active: str | None = None) -> DataFrame:
     """Average, smallest and largest shrunk correlation, tree weight of the distance and the strongest links, per session."""
 
     def kernel(session, date, members, block):
@@ -150,7 +184,7 @@ def correlation_pairs(panel: DataFrame, entity: Sequence[str], member: str, k: i
         tree = kernels.spanning_tree(kernels.distance(rho))
         yield session, date, len(rho), float(rho[i, j].mean()), float(rho[i, j].min()), float(rho[i, j].max()), float(sum(w for *_, w in tree)), [{"src": str(members[a]), "dst": str(members[b]), "weight": w} for a, b, w in tree]
 
-    return rolling_blocks(panel, entity, member, kernel, "session int, date date, n int, average double, lowest double, highest double, tree_weight double, tree array<struct<src:string,dst:string,weight:double>>", k=k)
+    return rolling_blocks(panel, entity, member, kernel, "session int, date date, n int, average double, lowest double, highest double, tree_weight double, tree array<struct<src:string,dst:string,weight:double>>", value, k, active=active)
 
 
 def correlation_sql(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r") -> DataFrame:
@@ -171,7 +205,7 @@ def correlation_sql(panel: DataFrame, entity: Sequence[str], member: str, k: int
     return pairs.groupBy(*entity, "session", "date").agg(F.count(F.lit(1)).alias("pairs"), F.avg("rho").alias("average")).filter("pairs >= 3")
 
 
-def gaussian_scores(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, every: int = 63, shrinks: Sequence[float] = (0.01, 0.1, 0.2)) -> DataFrame:
+def gaussian_scores(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, every: int = 63, shrinks: Sequence[float] = (0.01, 0.1, 0.2), active: str | None = None) -> DataFrame:
     """How well the shrunk correlation of the k sessions before predicts every ``every``-th session: entity, session, date, shrink, score."""
 
     def kernel(session, date, members, block):
@@ -179,7 +213,7 @@ def gaussian_scores(panel: DataFrame, entity: Sequence[str], member: str, k: int
             for shrink in shrinks:
                 yield session, date, float(shrink), kernels.gaussian_score(block[:-1], block[-1], shrink)
 
-    return rolling_blocks(panel, entity, member, kernel, "session int, date date, shrink double, score double", k=k + 1)
+    return rolling_blocks(panel, entity, member, kernel, "session int, date date, shrink double, score double", k=k + 1, active=active)
 
 
 def delay_embedding(series: DataFrame, keys: Sequence[str], value: str, k: int = 60, order: str = "date") -> DataFrame:

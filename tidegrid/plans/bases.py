@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeline import Series, drawdown, forward_loss, label_end, rolling
-from ..operators import panels, rolling as trailing
+from ..operators import asof, calendars, panels, rolling as trailing
 from ..operators.grid import feed_readings
 from ..sources.tables import table
-from .problems import _PRICE as PRICE_SQL
+from .problems import _PARTS as PARTS_SQL, _PRICE as PRICE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEED, REV, BASKET = Series(["feed"]), Series(["k"]), ["basket"]
@@ -82,7 +82,7 @@ ev AS (SELECT *, score > 0.05 AS alarm FROM lab WHERE score IS NOT NULL)"""
 
 def price_panel(spark: SparkSession, d: str) -> DataFrame:
     """basket, symbol, session, date, p, r: every member on every session of its basket."""
-    daily = trailing.valid_daily(table(spark, d, "prices")).withColumnRenamed("value", "p")
+    daily = daily_prices(spark, d)
     return panels.returns(panels.dense_panel(daily, BASKET, "symbol", "p"), BASKET, "symbol", "p")
 
 
@@ -93,6 +93,31 @@ span AS (SELECT basket, symbol, min(date) AS a, max(date) AS z FROM valid GROUP
 panel0 AS (SELECT s.basket, s.symbol, c.session, c.date, v.p FROM span s JOIN cal c ON c.basket = s.basket AND c.date BETWEEN s.a AND s.z LEFT JOIN valid v ON v.basket = s.basket AND v.symbol = s.symbol AND v.date = c.date),
 panel AS (SELECT *, ln(p) - lag(ln(p)) OVER (PARTITION BY basket, symbol ORDER BY session) AS r FROM panel0)"""
 )
+
+
+def daily_prices(spark: SparkSession, d: str) -> DataFrame:
+    return trailing.valid_daily(table(spark, d, "prices")).withColumnRenamed("value", "p")
+
+
+def basket_spans(spark: SparkSession, d: str) -> DataFrame:
+    """basket, symbol, first, last: the sessions on which a name was a member as known that day."""
+    return asof.member_spans(calendars.sessions(daily_prices(spark, d), BASKET), table(spark, d, "membership"))
+
+
+def basket_members(spark: SparkSession, d: str) -> DataFrame:
+    """basket, symbol, session, date: the members of each basket on each of its sessions as known that day."""
+    return asof.members_by_session(calendars.sessions(daily_prices(spark, d), BASKET), basket_spans(spark, d))
+
+
+def member_panel(spark: SparkSession, d: str) -> DataFrame:
+    """``price_panel`` with ``member_now``."""
+    return panels.with_members(price_panel(spark, d), basket_spans(spark, d), BASKET, "symbol")
+
+
+MEMBERS = f"""{PARTS_SQL}, best AS (SELECT c.basket, c.session, c.date, arg_max(m.snapshot_id, (m.date, m.received_at, m.snapshot_id)) AS snapshot_id
+FROM cal c JOIN full_parts m ON m.basket = c.basket AND m.date <= c.date AND m.received_at < c.date + INTERVAL 1 DAY GROUP BY ALL),
+named AS (SELECT DISTINCT snapshot_id, unnest(names) AS symbol FROM full_parts), members AS (SELECT b.basket, b.session, b.date, n.symbol FROM best b JOIN named n USING (snapshot_id)),
+listed AS (SELECT DISTINCT basket, symbol FROM last_px WHERE basket IS NOT NULL)"""
 DAY = "strftime(date, '%Y-%m-%d') AS date"
 
 

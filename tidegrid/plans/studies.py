@@ -10,7 +10,7 @@ from ..functions.symbols import canonical_symbol
 from ..functions.values import capped_magnitude
 from ..operators import asof, calendars, evaluate, models, panels, rolling
 from ..sources.tables import table
-from .bases import BASKET, DAY, FEED, PANEL, SCORED, SPY, VIX, Catalogue, price_panel, scored, spy, text_date, vix_daily
+from .bases import BASKET, DAY, FEED, MEMBERS, PANEL, SCORED, SPY, VIX, Catalogue, basket_members, daily_prices, price_panel, scored, spy, text_date, vix_daily
 from .evaluation import GROUPS, features, rank_sql, rounded
 from .problems import _PRICE
 from .series import COMPLETE
@@ -46,6 +46,31 @@ def q_exclusion_ledger(spark, d):
     return x.select("basket", "symbol", text_date(), reason.alias("reason"))
 
 
+STATUS = f""", {MEMBERS}, status AS (SELECT m.*, CASE WHEN l.symbol IS NULL THEN '{panels.UNRESOLVED}' WHEN NOT coalesce(k.complete, false) THEN '{panels.INCOMPLETE}' END AS reason
+FROM members m LEFT JOIN listed l USING (basket, symbol) LEFT JOIN marked k USING (basket, symbol, session) WHERE m.session > 60)"""
+
+
+def member_status(spark, d):
+    """Every member of every session that has 60 returns behind it, with the reason for which it has no part in the window."""
+    marked = panels.complete_windows(price_panel(spark, d), BASKET, "symbol")
+    listed = rolling.last_daily(table(spark, d, "prices")).select("basket", "symbol").distinct()
+    return panels.member_status(basket_members(spark, d).filter("session > 60"), listed, marked, BASKET, "symbol")
+
+
+@cat.add(f"WITH {PANEL}{COMPLETE}{STATUS} SELECT basket, symbol, {DAY}, reason FROM status WHERE reason IS NOT NULL")
+def q_member_ledger(spark, d):
+    """Why a member of that day has no part in a session's window, members without prices included."""
+    return member_status(spark, d).filter("reason is not null").select("basket", "symbol", text_date(), "reason")
+
+
+@cat.add(f"""WITH {PANEL}{COMPLETE}{STATUS} SELECT c.basket, strftime(c.date, '%Y-%m-%d') AS date, count(s.symbol) AS expected_members, count(s.symbol) FILTER (reason IS NULL OR reason <> '{panels.UNRESOLVED}') AS mapped, count(s.symbol) FILTER (reason IS NULL) AS eligible,
+count(*) FILTER (reason = '{panels.UNRESOLVED}') AS missing_symbols, count(*) FILTER (reason = '{panels.INCOMPLETE}') AS excluded_incomplete_or_constant FROM cal c LEFT JOIN status s ON s.basket = c.basket AND s.session = c.session WHERE c.session > 60 GROUP BY c.basket, c.date""")
+def q_member_coverage(spark, d):
+    """Expected, mapped, eligible and missing members of every session that has 60 returns behind it."""
+    calendar = calendars.sessions(daily_prices(spark, d), BASKET).filter("session > 60")
+    return panels.member_coverage(calendar, member_status(spark, d), BASKET).drop("session").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 @cat.add()
 def q_member_windows(spark, d):
     """Sessions on which a priced symbol with a complete window was a member as known that day, and on which it was not."""

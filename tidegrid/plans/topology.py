@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import panels
 from ..sources.tables import table
-from .bases import BASKET, FEED, PANEL, Catalogue, price_panel, spy, text_date
+from .bases import BASKET, FEED, MEMBERS, PANEL, Catalogue, member_panel, price_panel, spy, text_date
 
 cat = Catalogue()
 
@@ -34,15 +34,23 @@ def q_correlation_range(spark, d):
     return x.select("basket", "session", F.round("lowest", 8).alias("lowest"), F.round("highest", 8).alias("highest"))
 
 
+@cat.add(f"WITH {PANEL}, {WINDOWS}, {MEMBERS} SELECT p.basket, p.session::INT AS session, count(*) AS pairs, round(avg(rho), 8) AS average FROM pairs p JOIN members a ON a.basket = p.basket AND a.session = p.session AND a.symbol = p.i JOIN members b ON b.basket = p.basket AND b.session = p.session AND b.symbol = p.j GROUP BY p.basket, p.session HAVING count(*) >= 3")
+def q_member_correlation(spark, d):
+    """Average correlation of each basket's 60-session windows, of the members of that day only."""
+    x = panels.correlation_pairs(member_panel(spark, d), BASKET, "symbol", active="member_now")
+    return x.select("basket", "session", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"), F.round("average", 8).alias("average"))
+
+
 @cat.add()
 def q_spanning_tree(spark, d):
-    """Edges of the minimum spanning tree of each window, counted by asset: the degree in the tree."""
-    x = panels.correlation_pairs(price_panel(spark, d), BASKET, "symbol").select("basket", "session", F.explode("tree").alias("e"))
+    """Edges of the minimum spanning tree of each window of the day's members, counted by asset: the degree in the tree."""
+    x = panels.correlation_pairs(member_panel(spark, d), BASKET, "symbol", active="member_now").select("basket", "session", F.explode("tree").alias("e"))
     return x.select("basket", "session", F.explode(F.array("e.src", "e.dst")).alias("symbol")).groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("session").alias("sessions"))
 
 
 def topology(spark, d):
-    return panels.topology_features(price_panel(spark, d), BASKET, "symbol")
+    """Summaries of every window of at least three of the day's members."""
+    return panels.topology_features(member_panel(spark, d), BASKET, "symbol", active="member_now")
 
 
 @cat.add()
@@ -103,7 +111,7 @@ def q_delay_embedding(spark, d):
 
 @cat.add()
 def q_gaussian_score(spark, d):
-    return panels.gaussian_scores(price_panel(spark, d), BASKET, "symbol").select("basket", "session", "shrink", F.round("score", 7).alias("score"))
+    return panels.gaussian_scores(member_panel(spark, d), BASKET, "symbol", active="member_now").select("basket", "session", "shrink", F.round("score", 7).alias("score"))
 
 
 @cat.add()
