@@ -105,3 +105,12 @@ def test_average_precision():
     assert k.average_precision(np.array([0, 1.0, 1]), np.array([0.1, 0.9, 0.8])) == 1
     assert math.isclose(k.average_precision(np.array([0, 1.0]), np.array([0.5, 0.5])), 0.5)
     assert k.average_precision(np.zeros(3), np.zeros(3)) is None
+
+
+def test_loop_of_more_than_600_points():
+    n = 603
+    at = 2 * np.pi * np.arange(n) / n
+    d = np.abs(2 * np.sin((at[:, None] - at[None, :]) / 2))
+    h0, h1 = k.rips_diagrams(d)
+    longest = h1[np.argmax(h1[:, 1] - h1[:, 0])]
+    assert len(h0) == n - 1 and np.allclose(longest, [2 * np.sin(np.pi / n), np.sqrt(3)])

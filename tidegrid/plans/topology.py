@@ -136,7 +136,7 @@ def q_size_controls(spark, d):
 def q_embedding_homology(spark, d):
     """Bars of the point cloud of each label's vectors, on distances scaled to a largest of 2, counted and summed.
 
-    A label's cloud is one task; more than 600 points are refused, as the bars grow with their cube.
+    A label's cloud is one task of any number of points; its time grows faster than their cube (figures in the README).
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
