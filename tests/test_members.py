@@ -47,3 +47,29 @@ def test_coverage_and_ledger_name_members_without_prices(spark):
     assert {r["reason"] for r in status.filter("session = 60 and symbol <> 'X'").collect()} == {panels.INCOMPLETE}
     got = panels.member_coverage(calendar, status, B).filter("session = 75").first()
     assert [got[c] for c in ("expected_members", "mapped", "eligible", "missing_symbols", "excluded_incomplete_or_constant")] == [4, 3, 3, 1, 0]
+
+
+def test_grid_has_every_feature_of_each_variant(spark):
+    from pyspark.sql import functions as F
+
+    from tidegrid.functions.values import capped_magnitude
+
+    _, spans, panel = setting(spark)
+    jump = F.when((F.col("symbol") == "B") & (F.col("session") == 75), F.lit(0.9)).otherwise(F.col("r"))
+    panel = panels.with_members(panel, spans, B, "symbol").withColumn("r", jump).withColumn("q", capped_magnitude("r", 0.5)).cache()
+    variants = {"short": (40, 0.94, 0.1, "r"), "usual": (60, 0.94, 0.2, "r"), "masked": (60, 0.94, 0.1, "q")}
+    got = panels.topology_grid(panel, B, "symbol", variants, "member_now").drop("bars", "betti0", "betti1", "landscape", "image")
+    for name, (k, decay, shrink, value) in variants.items():
+        want = panels.topology_features(panel, B, "symbol", k, decay, shrink, value, "member_now").select(*(c for c in got.columns if c != "variant"))
+        assert rows(got.filter(F.col("variant") == name).drop("variant")) == rows(want)
+    # with B's jump masked, two members are left, too few for a window
+    assert {r["variant"]: r["z"] for r in got.groupBy("variant").agg(F.max("session").alias("z")).collect()} == {"short": 80, "usual": 80, "masked": 74}
+
+
+def test_parameter_grid_query_has_all_variants(spark):
+    from tidegrid.plans import topology
+
+    x = topology.q_parameter_grid(spark, "/root/testdata/sf0.001")
+    assert {"h1_entropy_normalized", "landscape1_l2_per_asset", "network_clustering", "w2_per_sqrt_asset", "betti_080"} <= set(x.columns)
+    got = {tuple(r) for r in x.select("variant", "k", "decay", "shrink").distinct().collect()}
+    assert got == {(v, *s[:3]) for v, s in topology.VARIANTS.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -151,15 +151,43 @@ FEATURES = [
 ]
 
 
+_SUMMARY = "session int, date date, n_assets int, " + ", ".join(f"{c} double" for c in FEATURES) + ", bars array<struct<birth:double,death:double>>, betti0 array<int>, betti1 array<int>, landscape array<double>, image array<double>"
+
+
+def _summary_row(session, date, block: np.ndarray, decay: float, shrink: float) -> tuple:
+    features, bars, curves = kernels.topology_summary(block, decay, shrink)
+    return (session, date, features["n_assets"], *(features[c] for c in FEATURES), [{"birth": float(b), "death": float(d)} for b, d in bars], curves["betti0"].tolist(), curves["betti1"].tolist(), curves["landscape"].tolist(), kernels.persistence_image(bars).tolist())
+
+
 def topology_features(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r", active: str | None = None) -> DataFrame:
     """Per entity and session: n_assets, the summary features, ``bars`` (dimension 1), Betti curves, landscape and persistence image."""
 
     def kernel(session, date, members, block):
-        features, bars, curves = kernels.topology_summary(block, decay, shrink)
-        yield (session, date, features["n_assets"], *(features[c] for c in FEATURES), [{"birth": float(b), "death": float(d)} for b, d in bars], curves["betti0"].tolist(), curves["betti1"].tolist(), curves["landscape"].tolist(), kernels.persistence_image(bars).tolist())
+        yield _summary_row(session, date, block, decay, shrink)
+
+    return rolling_blocks(panel, entity, member, kernel, _SUMMARY, value, k, active=active)
+
+
+def topology_grid(panel: DataFrame, entity: Sequence[str], member: str, variants: Mapping[str, tuple[int, float, float, str]], active: str | None = None, chunk: int = CHUNK, least: int = 3) -> DataFrame:
+    """``topology_features`` under each of ``variants``, name: (k, decay, shrink, value column), with the name as ``variant``.
+
+    The chunks hold the rows of the longest window, so that the panel is spread once for all variants.
+    """
+    values = sorted({v for *_, v in variants.values()})
+    kinds = {f.name: f.dataType.simpleString() for f in panel.schema.fields}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [
+            (*key[:-1], name, *_summary_row(session, date, block, decay, shrink))
+            for name, (k, decay, shrink, value) in variants.items()
+            for session, date, _, block in matrix_windows(pdf, member, value, k, chunk, least, active=active)
+        ]
+        return pd.DataFrame(rows, columns=names)
 
-    schema = "session int, date date, n_assets int, " + ", ".join(f"{c} double" for c in FEATURES) + ", bars array<struct<birth:double,death:double>>, betti0 array<int>, betti1 array<int>, landscape array<double>, image array<double>"
-    return rolling_blocks(panel, entity, member, kernel, schema, value, k, active=active)
+    full = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", variant string, " + _SUMMARY
+    names = [part.strip().split(" ")[0] for part in _split_schema(full)]
+    rows = panel.filter(F.coalesce(*values).isNotNull()).select(*entity, member, "session", "date", *values, *([active] if active else []))
+    return window_chunks(rows, entity, max(k for k, *_ in variants.values()), chunk).groupBy(*entity, "chunk").applyInPandas(run, full)
 
 
 def diagram_velocity(topology: DataFrame, entity: Sequence[str]) -> DataFrame:

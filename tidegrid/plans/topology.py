@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.values import capped_magnitude
 from ..operators import panels
 from ..sources.tables import table
 from .bases import BASKET, FEED, MEMBERS, PANEL, Catalogue, member_panel, price_panel, spy, text_date
@@ -114,14 +115,20 @@ def q_gaussian_score(spark, d):
     return panels.gaussian_scores(member_panel(spark, d), BASKET, "symbol", active="member_now").select("basket", "session", "shrink", F.round("score", 7).alias("score"))
 
 
+#: Variants of the research grid: window, decay, shrinkage and returns; ``q`` has those beyond 0.5 masked.
+VARIANTS = {"short window": (40, 0.94, 0.1, "r"), "long window": (120, 0.98, 0.1, "r"), "more shrinkage": (60, 0.94, 0.2, "r"), "masked": (60, 0.94, 0.1, "q")}
+BETTI_AT = (80, 90, 100, 110)
+
+
 @cat.add()
 def q_parameter_grid(spark, d):
-    """Average correlation and tree weight under other windows, decays and shrinkages."""
-    panel, out = price_panel(spark, d), None
-    for k, decay, shrink in ((40, 0.94, 0.1), (120, 0.98, 0.1), (60, 0.94, 0.2)):
-        one = panels.correlation_pairs(panel, BASKET, "symbol", k, decay, shrink).select(F.lit(k).alias("k"), F.lit(decay).alias("decay"), F.lit(shrink).alias("shrink"), "basket", "average", "tree_weight")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("k", "decay", "shrink", "basket").agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("average"), 8).alias("average"), F.round(F.avg("tree_weight"), 7).alias("tree_weight"))
+    """All summaries of every window, with the diagram velocity and Betti numbers per asset, under other windows, decays, shrinkages and masked returns."""
+    panel = member_panel(spark, d).withColumn("q", capped_magnitude("r", 0.5))
+    x = panels.diagram_velocity(panels.topology_grid(panel, BASKET, "symbol", VARIANTS, "member_now"), [*BASKET, "variant"])
+    settings = [F.create_map(*(F.lit(v) for name, setting in VARIANTS.items() for v in (name, setting[i])))[F.col("variant")].alias(c) for i, c in enumerate(("k", "decay", "shrink"))]
+    betti = [F.round(F.get("betti1", F.lit(j)) / F.col("n_assets"), 9).alias(f"betti_{j:03}") for j in BETTI_AT]
+    tree = F.round(F.col("h0_mean_lifetime") * (F.col("n_assets") - 1), 7).alias("tree_weight")
+    return x.select("variant", *settings, "basket", "session", text_date(), "n_assets", tree, *(F.round(c, 9).alias(c) for c in [*panels.FEATURES, "w2_per_sqrt_asset"]), *betti)
 
 
 @cat.add()
