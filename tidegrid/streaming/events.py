@@ -21,9 +21,10 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return reader.parquet(path)
 
 
-def moments(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Events with ``at``, a timestamp with a watermark."""
-    return events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
+def moments(events: DataFrame, ts: str = "ts", late: str | None = "1 hour") -> DataFrame:
+    """Events with ``at``, a timestamp with a watermark; without one (``late`` None) no row is ever late, and state is never dropped."""
+    x = events.withColumn("at", F.col(ts).cast("timestamp"))
+    return x.withWatermark("at", late) if late else x
 
 
 def windowed_counts(events: DataFrame, key: str, value: str, width: str = "1 day") -> DataFrame:
@@ -33,7 +34,10 @@ def windowed_counts(events: DataFrame, key: str, value: str, width: str = "1 day
 
 
 def session_counts(events: DataFrame, key: str, gap: str = "6 hours") -> DataFrame:
-    """key, start, end, n per session of events no further apart than ``gap``."""
+    """key, start, end, n per session of events no further apart than ``gap``.
+
+    In append mode only sessions behind the watermark come out; in complete mode, without one, the open ones do as well.
+    """
     x = events.groupBy(key, F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"))
     return x.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
