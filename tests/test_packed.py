@@ -50,3 +50,11 @@ def test_positions_and_empty(spark):
 def test_candidates():
     assert candidates("ZKOAT A,QX") == ["A", "A-QX", "QX", "ZKOAT", "ZKOAT-A"]
     assert candidates(None) == []
+
+
+def test_broadcast_and_join_agree_on_values_of_three_parts(spark):
+    fields = [("A,B,C;QX", ["A-B-C", "QX"]), ("A B C", ["A-B-C"]), ("A,B", ["A", "B"]), ("A;;B,C", ["A", "B", "C"]), ("D/E,F G", ["D-E-F-G"]), ("H,;I", ["H--I"])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(fields)], "id int, tickers string")
+    known = spark.createDataFrame([(k,) for k in ("A-B-C", "QX", "D-E-F-G", "H--I")], "value string")
+    for most in (1000, 1):
+        assert [r["values"] for r in split_packed(df, "tickers", known, max_broadcast=most).orderBy("id").collect()] == [v for _, v in fields]

@@ -144,8 +144,8 @@ def split_packed(df: DataFrame, column: str, dictionary: DataFrame | None = None
     return _split_joined(df, column, dictionary, into)
 
 
-def candidates(text: str | None) -> list[str]:
-    """Canonical forms of every delimited stretch and of every two neighbours with one mark between them."""
+def candidates(text: str | None, most: int = 2) -> list[str]:
+    """Canonical forms of every run of up to ``most`` delimited stretches with nothing but marks between neighbours."""
     if not text:
         return []
     spans, start = [], None
@@ -156,19 +156,28 @@ def candidates(text: str | None) -> list[str]:
                 start = None
         elif start is None:
             start = i
-    out = {canonical_text(text[a:b]) for a, b in spans}
-    for (a, b), (c, d) in zip(spans, spans[1:]):
-        if c == b + 1 and text[b] in MARKS:
-            out.add(canonical_text(text[a:d]))
+    out = set()
+    for k, (a, b) in enumerate(spans):
+        out.add(canonical_text(text[a:b]))
+        for c, d in spans[k + 1 : k + most]:
+            if not set(text[b:c]) <= set(MARKS):
+                break
+            b = d
+            out.add(canonical_text(text[a:b]))
     return sorted(out)
 
 
 def _split_joined(df: DataFrame, column: str, dictionary: DataFrame, into: str) -> DataFrame:
-    """The way without a broadcast: candidates of each distinct field are joined to the dictionary."""
+    """The way without a broadcast: candidates of each distinct field are joined to the dictionary.
+
+    A known value may be cut at any of its marks, so runs of as many stretches are offered as any of them has parts.
+    """
+    parts = F.max(F.length("value") - F.length(F.replace("value", F.lit("-"))) + 1)
+    most = dictionary.agg(parts).first()[0] or 1
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def offer(texts: pd.Series) -> pd.Series:
-        return texts.map(candidates)
+        return texts.map(lambda t: candidates(t, most))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series, known: pd.Series) -> pd.Series:
