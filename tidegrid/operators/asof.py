@@ -9,33 +9,38 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import canonical_symbol
 from .calendars import as_of
-from .snapshots import deliveries_with_values, snapshot_changes
+from .snapshots import signed_changes, deliveries_with_values
 
 
-def known_versions(deliveries: DataFrame, entity: Sequence[str], date: str, received: str, tie: str) -> DataFrame:
-    """The versions of each entity that became the known one, with ``known_from``, the first day on which they were.
+def known_versions(deliveries: DataFrame, entity: Sequence[str], date: str, received: str, tie: str, items: str = "items") -> DataFrame:
+    """The versions of each entity that became the known one, with ``known_from``, the first day on which they were, and
+    ``__next``, that of the following version.
 
     A delivery is known from the later of its ``date`` and the day of ``received``. Of the known ones the greatest
     (``date``, ``received``, ``tie``) holds, so a late delivery of an older date never replaces a newer one. Only the best
-    delivery of each day is kept before the running maximum, so its window has at most one row per entity and day.
+    delivery of each day is kept before the running maximum, whose window holds days and ranks alone, one small row per
+    entity and day; what it keeps is joined back to the contents (``items``, an array) by entity and day. Deliveries
+    without a day count for nothing.
     """
     rest = [c for c in deliveries.columns if c not in {*entity, date, received, tie}]
-    full = F.struct(date, received, tie, *rest)
-    daily = deliveries.groupBy(*entity, F.greatest(F.col(date), F.to_date(received)).alias("known_from")).agg(F.max_by(full, F.struct(date, received, tie)).alias("__v"))
+    order = [date, received, tie]
+    dated = deliveries.withColumn("known_from", F.greatest(F.col(date), F.to_date(received))).filter("known_from is not null")
+    daily = dated.groupBy(*entity, "known_from").agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("__v")).select(*entity, "known_from", "__v.*")
     w = Window.partitionBy(*entity).orderBy("known_from")
-    rank = F.struct(*(F.col(f"__v.{c}") for c in (date, received, tie)))
+    rank = F.struct(*order)
     before = F.max(rank).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return daily.withColumn("__before", before).filter(F.col("__before").isNull() | (rank > F.col("__before"))).select(*entity, "known_from", "__v.*")
+    held = daily.filter(F.size(items) >= 0).select(*entity, "known_from", *order).withColumn("__before", before).filter(F.col("__before").isNull() | (rank > F.col("__before")))
+    return daily.join(held.select(*entity, "known_from", F.lead("known_from").over(w).alias("__next")), [*entity, "known_from"])
 
 
 def change_histories(versions: DataFrame, entity: Sequence[str], key: str, fields: Mapping[str, str]) -> DataFrame:
     """One independent history per attribute: entity, key, ``day``, ``attribute``, ``value``.
 
-    ``versions`` has ``known_from`` and ``items``. The attribute ``present`` is 'true' from the day a key appears and null
+    ``versions`` has ``known_from``, ``__next`` and ``items``. The attribute ``present`` is 'true' from the day a key appears and null
     from the day it leaves; each of ``fields`` gets a row only on days on which its own value changed. Nothing is
     repeated for attributes that did not change, so no wide version rows arise.
     """
-    changes = snapshot_changes(versions, entity, "known_from", "items", key, list(fields), first=True)
+    changes = signed_changes(versions, entity, "known_from", "items", key, list(fields), first=True)
     gone = F.col("change") == "removed"
     cells = [
         F.struct(F.lit("present").alias("attribute"), F.when(gone, None).otherwise(F.lit("true")).alias("value"), (F.col("change") != "changed").alias("use")),
@@ -85,7 +90,7 @@ def membership_as_known(prices: DataFrame, membership: DataFrame) -> DataFrame:
     Columns basket, symbol, date, ``present`` (true, or null when not a member or nothing was known), ``units``.
     """
     versions = known_versions(deliveries_with_values(membership), ["basket"], "date", "received_at", "snapshot_id")
-    histories = change_histories(versions.withColumnRenamed("date", "__date"), ["basket"], "ticker", {"units": "int"})
+    histories = change_histories(versions, ["basket"], "ticker", {"units": "int"})
     histories = histories.withColumnRenamed("ticker", "symbol")
     return attach_known(series_days(prices), histories, ["basket", "symbol"], "date", {"present": "boolean", "units": "int"})
 

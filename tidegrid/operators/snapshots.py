@@ -13,6 +13,19 @@ from .packed import split_packed
 PRESENT = "__present"
 
 
+def neighbours(snapshots: DataFrame, entity: Sequence[str], version: str, items: str) -> DataFrame:
+    """``snapshots`` with ``__next``, the entity's following version, and ``__first``, whether the version is its first.
+
+    Only the pairs of entity and version are ordered within an entity; what was found is joined to the snapshots by both, so
+    that an entity's contents never pass through one task. The size of ``items`` is asked for on both sides, so that both
+    read one exchange.
+    """
+    w = Window.partitionBy(*entity).orderBy(version)
+    at = snapshots.filter(F.size(items) >= 0).select(*entity, version)
+    order = at.withColumns({"__next": F.lead(version).over(w), "__first": F.row_number().over(w) == 1})
+    return snapshots.join(order, [*entity, version])
+
+
 def snapshot_changes(snapshots: DataFrame, entity: Sequence[str], version: str, items: str, key: str, fields: Sequence[str], first: bool = False) -> DataFrame:
     """Records added, removed or changed between each snapshot and the preceding one of its entity.
 
@@ -22,30 +35,28 @@ def snapshot_changes(snapshots: DataFrame, entity: Sequence[str], version: str,
     entity's first snapshot adds all its keys, else it gives no rows. Other columns are ignored; no rows give no rows.
 
     Result: entity, version, key, ``change`` (added, removed, changed), ``fields`` (sorted names of the changed fields,
-    all of them for added and removed), ``now`` (map of those fields to their values in the later snapshot, as strings). Every snapshot is unpivoted into cells (key, field, value) that count +1 for their
-    own version and -1 for the next one, so that equal cells cancel; the sums that stay tell what differs. The window
-    over an entity has one row per version; the cells are spread by entity, version and key, so no entity is one task.
+    all of them for added and removed), ``now`` (map of those fields to their values in the later snapshot, as strings). Every
+    snapshot is unpivoted into cells (key, field, value) that count +1 for their own version and -1 for the next one, so that
+    equal cells cancel; the sums that stay tell what differs. Versions are numbered apart from their contents. A key's
+    fields travel once, to the task of (entity, key), and are unpivoted there; so no entity is one task, and a key there
+    holds one small row a version.
     """
     assert PRESENT not in fields
-    w = Window.partitionBy(*entity).orderBy(version)
+    return signed_changes(neighbours(snapshots.select(*entity, version, items), entity, version, items), entity, version, items, key, fields, first)
+
+
+def signed_changes(numbered: DataFrame, entity: Sequence[str], version: str, items: str, key: str, fields: Sequence[str], first: bool) -> DataFrame:
+    """``snapshot_changes`` of snapshots that have ``__next`` and, unless ``first``, ``__first``."""
     key_of = lambda x: x[key]
     once = F.filter(items, lambda x, i: key_of(x).isNotNull() & (F.array_position(F.transform(items, key_of), key_of(x)) == i + 1))
-    versions = F.filter(
-        F.array(
-            F.struct(F.col(version).alias("v"), F.lit(1).alias("sign"), (F.lit(first) | F.lag(version).over(w).isNotNull()).alias("use")),
-            F.struct(F.lead(version).over(w).alias("v"), F.lit(-1).alias("sign"), F.lead(version).over(w).isNotNull().alias("use")),
-        ),
-        lambda x: x["use"],
-    )
-    rows = snapshots.select(*entity, versions.alias("__vs"), once.alias("__items")).select(*entity, F.explode("__items").alias("__i"), "__vs")
-    value = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"__i.{f}").cast("string").alias("value"))
-    cells = F.array(F.struct(F.lit(PRESENT).alias("field"), F.lit(None).cast("string").alias("value")), *map(value, fields))
-    signed = rows.select(*entity, F.col(f"__i.{key}").alias(key), F.explode("__vs").alias("__v"), cells.alias("__cells")).select(
-        *entity, F.col("__v.v").alias(version), key, F.explode("__cells").alias("__c"), F.col("__v.sign").alias("__sign")
-    )
+    own = F.lit(True) if first else ~F.col("__first")
+    rows = numbered.select(*entity, F.when(own, F.col(version)).alias("__own"), "__next", F.explode(once).alias("__i"))
+    rows = rows.select(*entity, F.col(f"__i.{key}").alias(key), "__own", "__next", *(F.col(f"__i.{f}").cast("string").alias(f"__f{i}") for i, f in enumerate(fields))).repartition(*entity, key)
+    versions = F.filter(F.array(F.struct(F.col("__own").alias("v"), F.lit(1).alias("sign")), F.struct(F.col("__next").alias("v"), F.lit(-1).alias("sign"))), lambda x: x["v"].isNotNull())
+    cells = F.array(F.struct(F.lit(PRESENT).alias("field"), F.lit(None).cast("string").alias("value")), *(F.struct(F.lit(f).alias("field"), F.col(f"__f{i}").alias("value")) for i, f in enumerate(fields)))
+    signed = rows.select(*entity, key, cells.alias("__cells"), F.explode(versions).alias("__v")).select(*entity, key, F.col("__v.v").alias(version), F.col("__v.sign").alias("__sign"), F.explode("__cells").alias("__c"))
     left = (
-        signed.repartition(*entity, version, key)  # both groupings below keep to this one exchange
-        .groupBy(*entity, version, key, F.col("__c.field").alias("__field"), F.col("__c.value").alias("__value"))
+        signed.groupBy(*entity, version, key, F.col("__c.field").alias("__field"), F.col("__c.value").alias("__value"))  # this grouping and the next keep to the exchange above
         .agg(F.sum("__sign").alias("__sum"))
         .filter(F.col("__sum") != 0)
     )
@@ -86,5 +97,3 @@ def membership_changes(membership: DataFrame) -> DataFrame:
     """
     last = last_received(deliveries_with_values(membership), ["basket", "date"], ["received_at", "snapshot_id"])
     return snapshot_changes(last, ["basket"], "date", "items", "ticker", ["units"])
-
-
