@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import positive
+from ..functions.values import clip, finite, positive
 
 #: Harmonics of the year in the regression.
 YEARLY = 2
 #: Ridge weight of the normal equations, as a share of their diagonal, for series too short to tell the terms apart.
 RIDGE = 1e-6
+#: Logarithms are held to this magnitude, so that their exponentials are finite and above 0.
+LARGEST = 700.0
 
 
 def features(date: Column, first: Column, last: Column, yearly: int = YEARLY) -> list[Column]:
@@ -33,8 +35,9 @@ def regular_grid(readings: DataFrame, keys: Sequence[str], date: str, value: str
 
     ``readings`` has one usable (finite, above 0) reading per key and date; other columns are ignored. On weekdays
     without one, ``value`` is the regression's prediction plus the residual carried linearly in time between the readings
-    before and after, so observed values are met exactly, and ``filled`` is true. The logarithm is fitted. Readings on
-    days off serve the fit and the bridges but have no grid row; a key read on days off only gives no rows.
+    before and after, so observed values are met exactly, and ``filled`` is true. The logarithm is fitted; where the
+    equations have no finite solution the bridge alone fills. Readings on days off serve the fit and the bridges but have no
+    grid row; a key read on days off only gives no rows. Every value is finite and above 0.
 
     The normal equations are sums that Spark combines on the map side; only the solved 8 x 8 systems, one per key, pass
     through Python. All steps keep to one exchange by key, and a key has at most one row per calendar day.
@@ -66,13 +69,14 @@ def regular_grid(readings: DataFrame, keys: Sequence[str], date: str, value: str
         .join(coefs.hint("shuffle_hash"), list(keys))
     )
     fit = sum((F.col("__c")[i] * c for i, c in enumerate(features(F.col(date), F.col("__first"), F.col("__last"), yearly))), F.lit(0.0))
+    fit = F.coalesce(finite(fit), F.lit(0.0))
     dense = dense.withColumn("__fit", fit).withColumn("__r", F.when(F.col("__k") == 0, F.col("__y") - F.col("__fit")))
     before = F.last("__r", ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("__r", ignorenulls=True).over(seq.rowsBetween(0, Window.unboundedFollowing))
     bridge = before + (after - before) * F.col("__k") / F.col("__gap")
     seen = F.col("__k") == 0
     return (
-        dense.select(*keys, date, "__k", F.exp(F.when(seen, F.col("__y")).otherwise(F.col("__fit") + bridge)).alias("value"), F.exp("__fit").alias("fitted"))
+        dense.select(*keys, date, "__k", F.exp(clip(F.when(seen, F.col("__y")).otherwise(F.col("__fit") + bridge), -LARGEST, LARGEST)).alias("value"), F.exp("__fit").alias("fitted"))
         .filter(F.weekday(date) < 5)
         .select(*keys, date, "value", (F.col("__k") != 0).alias("filled"), "fitted")
     )

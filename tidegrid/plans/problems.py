@@ -40,11 +40,13 @@ def p2_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return grid.feed_grid(table(spark, d, "markets"), table(spark, d, "vix")).filter("filled").select("feed", "series", day())
+    """The weekdays of the grid that the regression and the bridges filled with a value."""
+    return grid.feed_grid(table(spark, d, "markets"), table(spark, d, "vix")).filter("filled and value > 0").select("feed", "series", day())
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    return grid.feed_grid(table(spark, d, "markets"), table(spark, d, "vix")).select("feed", "series", day(), F.round("value", 6).alias("value"), "filled")
+    """Every weekday with its value; to 4 places, which two solutions of the same equations agree on."""
+    return grid.feed_grid(table(spark, d, "markets"), table(spark, d, "vix")).select("feed", "series", day(), F.round("value", 4).alias("value"), "filled")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +100,34 @@ WINDOW w7 AS (PARTITION BY basket, symbol ORDER BY date ROWS 6 PRECEDING), w30 A
 _GRID = """reads AS (SELECT feed, 'SPY' AS series, date FROM markets WHERE SPY > 0 AND isfinite(SPY) AND feed IS NOT NULL AND date IS NOT NULL
 UNION SELECT feed, 'VIX', "DATE" FROM vix WHERE "CLOSE" > 0 AND isfinite("CLOSE") AND feed IS NOT NULL AND "DATE" IS NOT NULL),
 spine AS (SELECT feed, series, unnest(range(min(date)::TIMESTAMP, max(date)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS date FROM reads GROUP BY feed, series)"""
+_TERMS = 8  # intercept, trend, a weekly and two yearly harmonics
+
+
+def _fit_sql() -> str:
+    """CTEs: reads with values, normal equations with a ridge, Gauss-Jordan steps, and the grid with predictions and bridged residuals."""
+    day = "(date - DATE '1970-01-01')"
+    waves = [f"{f}({day} * (2 * pi() / {p}))" for p in (7.0, 365.25, 365.25 / 2) for f in ("sin", "cos")]
+    x = f"[1.0::DOUBLE, (date - a) / greatest(z - a, 1)::DOUBLE * 2 - 1, {', '.join(waves)}]"
+    n = range(1, _TERMS + 1)
+    sums = ", ".join([f"sum(x[{i}] * x[{j}]) AS g{i}_{j}" for i in n for j in n] + [f"sum(x[{i}] * y) AS b{i}" for i in n])
+    ridge = f"(1e-6 * ({' + '.join(f'g{i}_{i}' for i in n)}) / {_TERMS} + 1e-12)"
+    start = ", ".join("[" + ", ".join(f"g{i}_{j}" + (f" + {ridge}" if i == j else "") for j in n) + f", b{i}] AS r{i}" for i in n)
+    steps = ""
+    for k in n:  # row k clears column k of the others
+        rows = ", ".join(f"r{i}" if i == k else f"list_transform(list_zip(r{i}, r{k}), lambda v: v[1] - v[2] * (r{i}[{k}] / r{k}[{k}])) AS r{i}" for i in n)
+        steps += f", m{k} AS (SELECT feed, series, {rows} FROM m{k - 1})"
+    solved = ", ".join(f"r{i}[{_TERMS + 1}] / r{i}[{i}]" for i in n)
+    return f"""vals AS (SELECT feed, 'SPY' AS series, date, ln(arg_max(SPY, (received_at, SPY))) AS y FROM markets WHERE SPY > 0 AND isfinite(SPY) AND feed IS NOT NULL AND date IS NOT NULL GROUP BY feed, date
+UNION ALL SELECT feed, 'VIX', "DATE", ln(arg_max("CLOSE", (read_at, received_at, "CLOSE"))) FROM vix WHERE "CLOSE" > 0 AND isfinite("CLOSE") AND feed IS NOT NULL AND "DATE" IS NOT NULL GROUP BY feed, "DATE"),
+ends AS (SELECT feed, series, min(date) AS a, max(date) AS z FROM vals GROUP BY ALL),
+days AS (SELECT feed, series, a, z, unnest(range(a::TIMESTAMP, z::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS date FROM ends),
+terms AS (SELECT d.*, v.y, {x} AS x FROM days d LEFT JOIN vals v USING (feed, series, date)),
+m AS (SELECT feed, series, {sums} FROM terms WHERE y IS NOT NULL GROUP BY ALL), m0 AS (SELECT feed, series, {start} FROM m){steps},
+coef AS (SELECT feed, series, [{solved}] AS c FROM m{_TERMS}), fits AS (SELECT t.*, list_dot_product(x, c) AS fit FROM terms t JOIN coef USING (feed, series)),
+near AS (SELECT *, last_value(y - fit IGNORE NULLS) OVER w AS rb, last_value(CASE WHEN y IS NOT NULL THEN date END IGNORE NULLS) OVER w AS db, first_value(y - fit IGNORE NULLS) OVER v AS ra, first_value(CASE WHEN y IS NOT NULL THEN date END IGNORE NULLS) OVER v AS da FROM fits
+WINDOW w AS (PARTITION BY feed, series ORDER BY date ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY feed, series ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
 _KNOWN = f"""{_PARTS}, px AS (SELECT DISTINCT basket, {_CANON.format('symbol')} AS symbol, date FROM prices WHERE symbol IS NOT NULL AND date IS NOT NULL),
 days AS (SELECT DISTINCT basket, date FROM px),
 best AS (SELECT d.basket, d.date, arg_max(m.snapshot_id, (m.date, m.received_at, m.snapshot_id)) AS snapshot_id
@@ -112,6 +142,7 @@ SQL: dict[str, str] = {
     "p2_found": f"WITH {_KNOWN} SELECT basket, symbol, {_DAY} FROM known WHERE NOT present",
     "p2_attributes": f"WITH {_KNOWN} SELECT basket, symbol, count(*) AS days, count(*) FILTER (present) AS member_days, sum(units)::BIGINT AS unit_days FROM known GROUP BY ALL",
     "p3_found": f"WITH {_GRID} SELECT feed, series, {_DAY} FROM (SELECT * FROM spine WHERE isodow(date) < 6) ANTI JOIN reads USING (feed, series, date)",
+    "p3_grid": f"WITH {_fit_sql()} SELECT feed, series, {_DAY}, round(exp(coalesce(y, fit + rb + (ra - rb) * (date - db) / (da - db))), 4) AS value, y IS NULL AS filled FROM near WHERE isodow(date) < 6",
     "p5_found": f"WITH {_DENSE} SELECT basket, symbol, {_DAY}, 7 AS days FROM rolled WHERE n_7 = 0 UNION ALL SELECT basket, symbol, {_DAY}, 30 FROM rolled WHERE n_30 = 0",
     "p5_totals": f"WITH {_DENSE} SELECT basket, symbol, {_DAY}, n_7, round(total_7, 4) AS total_7, round(total_7, 4) / nullif(n_7, 0) AS avg_7, n_30, round(total_30, 4) AS total_30, round(total_30, 4) / nullif(n_30, 0) AS avg_30 FROM rolled",
     "p6_found": f"WITH {_PARTS} SELECT snapshot_id, i::INT AS pos, names[i] AS ticker FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM full_parts)",
