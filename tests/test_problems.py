@@ -156,6 +156,77 @@ def test_nearly_still():
     p[100:115] = p[100] * (1 + 1e-5 * np.random.default_rng(0).normal(size=15))
     assert reasons(p) == {3: list(range(101, 115))}
 
+def autoregressive(phi, n=400, seed=0, sigma=0.01):
+    rng = np.random.default_rng(seed)
+    r = np.zeros(n)
+    for t, e in enumerate(rng.normal(0, sigma, n)):
+        r[t] = phi * r[t - 1] + e
+    return r
+
+
+def test_moves_are_judged_by_the_autoregression(monkeypatch):
+    p = 50 * np.exp(np.cumsum(autoregressive(0.8, seed=2)))
+    r = np.diff(np.log(p))
+    fit = spikes.fit_moves(np.log(p), np.zeros(len(p), dtype=np.int64), 1, spikes.Limits())
+    assert abs(fit.phi[0] - 0.8) < 0.1 and abs(fit.scale[0] / 0.01 - 1) < 0.2 and fit.scale[0] < 0.8 * r.std()
+    p[150] *= 1.13  # 13 usual residuals, but 8 usual moves
+    assert reasons(p) == {2: [150]}
+    plain = spikes.fit_moves
+
+    def without(*args):
+        fit = plain(*args)
+        return spikes.Fit(fit.phi * 0, *(np.abs(fit_zero(*args[:3])) * k for k in (1.4826, 1.4826 * 10)))
+
+    def fit_zero(x, sid, n):
+        return spikes.group_quantiles(np.abs(np.diff(x)), sid[1:], n)[0]
+
+    monkeypatch.setattr(spikes, "fit_moves", without)
+    assert reasons(p) != {2: [150]}
+
+
+@pytest.mark.parametrize("phi", [-0.4, 0.0, 0.4])
+def test_planted_spells_of_any_length_are_found(phi):
+    found = wrong = planted = 0
+    for seed in range(40):
+        rng = np.random.default_rng(1000 + seed)
+        p = 50 * np.exp(np.cumsum(autoregressive(phi, seed=seed)))
+        bad = set()
+        for k, at in enumerate((40, 90, 140, 190, 240, 290, 340)):
+            m = 1 + (seed + k) % 10
+            p[at : at + m] *= np.exp(rng.choice([-1, 1]) * rng.uniform(0.25, 2.0))
+            bad |= set(range(at, at + m))
+        p[370:] *= 1.6  # lasting
+        got = set(reasons(p).get(2, []))
+        found, wrong, planted = found + len(got & bad), wrong + len(got - bad), planted + len(bad)
+    assert found >= 0.99 * planted and wrong <= 0.01 * planted
+
+
+def test_neighbours_of_opposite_sign():
+    p = series(seed=6)
+    p[100] *= 10
+    p[101] /= 10
+    p[200] *= 1.4
+    p[201] /= 1.4
+    assert reasons(p) == {2: [100, 101, 200, 201]}
+
+
+def test_a_spell_longer_than_the_limit_is_a_change_of_level():
+    p = series(seed=7)
+    p[100:110] *= 3
+    p[150:161] *= 3
+    assert reasons(p) == {2: list(range(100, 110))}
+
+
+def test_quantiles_of_groups():
+    rng = np.random.default_rng(0)
+    sid = np.sort(rng.integers(0, 5, 200))
+    sid[sid == 3] = 4
+    v = rng.normal(size=200)
+    got = spikes.group_quantiles(v, sid, 6, (0.5, 0.9))
+    for g in range(6):
+        want = np.quantile(v[sid == g], (0.5, 0.9)) if (sid == g).any() else [np.nan] * 2
+        assert np.allclose(got[:, g], want, equal_nan=True)
+
 
 def test_many_series_as_one_each():
     parts = [series(n=n, seed=n) for n in (5, 60, 200, 9)]

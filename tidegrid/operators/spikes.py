@@ -1,13 +1,14 @@
 """Implausible readings per source: spikes, stuck stretches and physically impossible values.
 
-A robust autoregression of each series' log moves gives the scale of its usual moves. Large moves are tested in rounds: one that
-is undone within a few readings is an additive outlier, one that lasts is a level shift. Outliers are flagged and
-replaced by the line between their neighbours before the next round, so that one spike cannot hide another.
+Each series' log moves get a robust first-order autoregression. Its residuals are tested in rounds: at every reading the size
+of an additive outlier and that of a level shift are estimated from the residuals that either would leave, the likelier of
+the two is taken out of the series where it is beyond what residuals of the series reach by chance, and the autoregression is
+fitted anew to what is left. Outliers, and shifts that are undone soon, are spikes; lasting shifts are none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,43 +23,67 @@ from .rolling import last_daily
 class Limits:
     """Parameters of the tests; scales are those of the series itself."""
 
-    spike: float = 10.3  #: usual moves that a reading stands away from both sides
-    shift: float = 6.0  #: usual moves from which a move is tested at all
-    back: float = 0.5  #: a move is undone if what is left of it is at most this share of the outlier
-    longest: int = 5  #: most consecutive readings of one outlier
-    edge: float = 1.6  #: log move (and 25 usual moves) that makes an outlier of the first or last readings
-    still: float = 0.008  #: usual moves up to which a reading has not moved
-    chance: float = 1e-3  #: expected number of natural still stretches of the flagged length in the series
+    chance: float = 1e-3  #: expected number of natural residuals (and of natural still stretches) beyond the limit in the whole series
+    least: float = 6.0  #: a limit is never below so many usual moves
+    back: float = 0.5  #: a spell is undone if what is left of it is at most this share of its least distance
+    longest: int = 10  #: most readings of a spell that is undone; a longer one is a change of level
+    edge: float = 1.6  #: log move that makes an outlier of the first or last readings, which nothing can undo (five-fold: splits are less)
+    still: float = 0.008  #: usual moves up to which a reading has not moved; ordinary moves are so small once in 150
     fewest: int = 8  #: readings that a series needs to be judged by its own behaviour
     shortest: int = 5  #: moves of the shortest stuck stretch
-    rounds: int = 4  #: rounds of outlier tests
+    rounds: int = 30  #: most rounds of tests and fits; they end when nothing is found
 
 
 def starts_of(sid: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]]) if len(sid) else np.zeros(0, dtype=np.int64)
 
 
-def group_median(values: np.ndarray, sid: np.ndarray, n: int) -> np.ndarray:
-    """Median of each group 0..n-1, NaN for groups without values; ``sid`` is sorted."""
-    out = np.full(n, np.nan)
+def group_quantiles(values: np.ndarray, sid: np.ndarray, n: int, shares: Sequence[float] = (0.5,)) -> np.ndarray:
+    """Quantiles of each group 0..n-1 (a row for each share), NaN for groups without values; ``sid`` is sorted."""
+    out = np.full((len(shares), n), np.nan)
     if len(values):
         order = np.lexsort((values, sid))
         v, first = values[order], starts_of(sid)
         count = np.diff(np.r_[first, len(v)])
-        out[sid[first]] = (v[first + (count - 1) // 2] + v[first + count // 2]) / 2
+        for k, share in enumerate(shares):
+            at = share * (count - 1)
+            low = at.astype(np.int64)
+            a, z = v[first + low], v[first + np.minimum(low + 1, count - 1)]
+            out[k, sid[first]] = a + (z - a) * (at - low)
     return out
 
 
-def robust_scale(x: np.ndarray, sid: np.ndarray, n: int, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(phi, scale) of a Huber-weighted first-order autoregression of the moves of each series; moves of 0 set no scale."""
-    inside = np.r_[False, sid[1:] == sid[:-1]] if len(sid) else np.zeros(0, dtype=bool)
+@dataclass
+class Fit:
+    """A robust autoregression of each series' moves: coefficient, scale of the residuals, and the limit that they don't reach by chance."""
+
+    phi: np.ndarray
+    scale: np.ndarray
+    limit: np.ndarray
+
+
+def residuals(x: np.ndarray, sid: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    """What the autoregression of the moves leaves of each; a series' first reading has none, its second one is a move on its own."""
+    inside = np.r_[False, sid[1:] == sid[:-1]]
+    r = np.where(inside, np.diff(x, prepend=x[:1]), 0.0)
+    return r - phi[sid] * np.r_[0.0, r[:-1]] * inside
+
+
+def fit_moves(x: np.ndarray, sid: np.ndarray, n: int, lim: Limits, rounds: int = 2) -> Fit:
+    """Huber-weighted fits of r[t] = phi r[t-1] + e[t]; moves of 0 set no scale.
+
+    The limit continues the tail of |e| from its median and its 90 % quantile, which a tenth of outliers can't spoil, as an
+    exponential one to the point that ``chance`` readings of the series are expected to pass.
+    """
+    inside = np.r_[False, sid[1:] == sid[:-1]]
     r = np.where(inside, np.diff(x, prepend=x[:1]), 0.0)
     moved = inside & (np.abs(r) > 1e-9)
-    scale = 1.4826 * group_median(np.abs(r[moved]), sid[moved], n)
+    middle, tail = group_quantiles(np.abs(r[moved]), sid[moved], n, (0.5, 0.9))
     phi = np.zeros(n)
-    pair = inside & np.r_[False, inside[:-1]] if len(sid) else inside
-    now, before, g = r[pair], r[np.flatnonzero(pair) - 1], sid[pair]
+    pair = np.flatnonzero(inside & np.r_[False, inside[:-1]])
+    now, before, g = r[pair], r[pair - 1], sid[pair]
     for _ in range(rounds):
+        scale = 1.4826 * middle
         e = now - phi[g] * before
         with np.errstate(invalid="ignore", divide="ignore"):
             w = np.minimum(1, 1.5 * scale[g] / np.abs(e)) * np.minimum(1, 3 * scale[g] / np.abs(before))
@@ -67,61 +92,105 @@ def robust_scale(x: np.ndarray, sid: np.ndarray, n: int, rounds: int = 2) -> tup
         phi = np.clip(np.bincount(g, w * now * before, n) / np.where(den > 0, den, 1), -0.9, 0.9)
         e = np.abs(now - phi[g] * before)
         use = (e > 1e-9) & (np.abs(now) > 1e-9)
-        fresh = 1.4826 * group_median(e[use], g[use], n)
-        scale = np.where(np.isfinite(fresh), fresh, scale)
-    return phi, scale
+        fresh = group_quantiles(e[use], g[use], n, (0.5, 0.9))
+        middle, tail = np.where(np.isfinite(fresh), fresh, [middle, tail])
+    count = np.bincount(sid, minlength=n)
+    limit = middle + (tail - middle) / np.log(5) * np.log(np.maximum(0.5 * count / lim.chance, 1))
+    return Fit(phi, 1.4826 * middle, np.maximum(limit, lim.least * 1.4826 * middle))
 
 
-def spikes(x: np.ndarray, sid: np.ndarray, scale: np.ndarray, size: np.ndarray, lim: Limits) -> np.ndarray:
-    """Outlier score of each log reading, 0 for none, by rounds of additive-outlier and level-shift tests."""
+def interventions(x: np.ndarray, sid: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(readings, sizes, whether of an additive outlier) of what the residuals show beyond the limits, each the strongest within two readings.
+
+    An outlier of size w leaves residuals w (1, -(1 + phi), phi), a level shift w (1, -phi); sizes are least-squares
+    estimates, and the one that explains more of the residuals is taken.
+    """
     n = len(x)
-    x, score = x.copy(), np.zeros(n)
-    s = np.where((size[sid] >= lim.fewest) & np.isfinite(scale[sid]), scale[sid], np.inf) if n else x
-    first = np.r_[True, sid[1:] != sid[:-1]] if n else np.zeros(0, dtype=bool)
-    last = np.r_[first[1:], True]
+    e, phi, bound = residuals(x, sid, fit.phi), fit.phi[sid], fit.limit[sid]
+    some = np.abs(e) > bound / 2
+    near = np.flatnonzero(some | np.r_[some[1:], False] | np.r_[some[2:], False, False])  # else no estimate can pass the limit
+    ok = lambda k: np.where(near + k < n, sid[np.minimum(near + k, n - 1)] == sid[near], False)
+    begin = near > 0
+    begin[begin] = sid[near[begin]] == sid[near[begin] - 1]
+    e0 = e[near]
+    e1, e2 = (np.where(ok(k), e[np.minimum(near + k, n - 1)], 0.0) for k in (1, 2))
+    f = phi[near]
+    own, after = 1 + (1 + f) ** 2 * ok(1) + f * f * ok(2), 1 + f * f * ok(1)
+    outlier, shift = (e0 - (1 + f) * e1 + f * e2) / own, (e0 - f * e1) / after
+    a, z = np.abs(outlier) * np.sqrt(own), np.abs(shift) * np.sqrt(after)
+    strength = np.where(begin & (np.maximum(a, z) > bound[near]), np.maximum(a, z), 0.0)
+    full = np.zeros(n + 4)
+    full[near + 2] = strength
+    best = strength > 0
+    for k in (1, 2):
+        best &= (strength > full[near + 2 - k]) | (sid[near] != sid[np.maximum(near - k, 0)])
+        best &= (strength >= full[near + 2 + k]) | ~ok(k)
+    lone = ok(1) & (a >= z)
+    return near[best], np.where(lone, outlier, shift)[best], lone[best]
+
+
+def spikes(x: np.ndarray, sid: np.ndarray, size: np.ndarray, lim: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """(score of each log reading, 0 for none, in usual moves; scale of the usual moves of each series)."""
+    n, groups = len(x), len(size)
+    y = x.copy()
+    fit = Fit(np.zeros(groups), np.full(groups, np.nan), np.full(groups, np.inf))
+    active = size >= lim.fewest
     for _ in range(lim.rounds):
-        move = np.abs(np.diff(x, prepend=x[:1]))
-        at = np.flatnonzero(~first & (move > lim.shift * s))
-        if not len(at):
+        rows = np.flatnonzero(active[sid])
+        if not len(rows):
             break
-        best, length, gap = np.zeros(len(at)), np.zeros(len(at), dtype=np.int64), np.full(len(at), np.inf)
-        for m in range(1, lim.longest + 1):
-            to = at + m
-            ok = to < n
-            ok[ok] = sid[to[ok]] == sid[at[ok]]
-            a, z = x[at - 1], x[np.where(ok, to, at)]
-            least, same = np.full(len(at), np.inf), np.ones(len(at), dtype=bool)
-            for j in range(m):
-                off = x[np.minimum(at + j, n - 1)] - (a + (z - a) * (j + 1) / (m + 1))
-                least = np.minimum(least, np.abs(off))
-                same &= off * (x[at] - a) > 0
-            left = np.abs(z - a)
-            hit = ok & same & (least >= lim.spike * s[at]) & (left <= lim.back * least) & (length == 0)
-            best[hit], length[hit], gap[hit] = (least / s[at])[hit], m, left[hit]
-        keep = np.flatnonzero(length)
-        changed = False
-        until = -1
-        for k in keep:  # few: the outliers themselves, left to right, without overlap
-            if at[k] <= until:
-                continue
-            a, m = at[k], length[k]
-            score[a : a + m] = best[k]
-            x[a : a + m] = x[a - 1] + (x[a + m] - x[a - 1]) * np.arange(1, m + 1) / (m + 1)
-            until, changed = a + m - 1, True
-        if not changed:
+        number = np.cumsum(active) - 1
+        g = number[sid[rows]]
+        now = fit_moves(y[rows], g, int(active.sum()), lim)
+        for name in ("phi", "scale", "limit"):
+            getattr(fit, name)[active] = getattr(now, name)
+        now.limit = np.where(np.isfinite(now.limit), now.limit, np.inf)
+        at, w, lone = interventions(y[rows], g, now)
+        if not len(at):
             break
-    # at an end of a series nothing can undo a move: only one far beyond any level shift is an outlier there
-    move = np.diff(x, prepend=x[:1])
-    for b in np.flatnonzero(~first & (np.abs(move) > np.maximum(lim.edge, 25 * s))):
-        lo, hi = b - 1, b
-        while b - lo < lim.longest and not first[lo]:
-            lo -= 1
-        while hi - b < lim.longest - 1 and not last[hi]:
-            hi += 1
-        if first[lo] and (b - lo) * 3 < size[sid[b]]:
-            score[lo:b] = np.abs(move[b]) / s[b]
-        elif last[hi] and (hi - b + 1) * 3 < size[sid[b]]:
-            score[b : hi + 1] = np.abs(move[b]) / s[b]
+        off = np.zeros(len(rows))
+        first = starts_of(g)
+        np.add.at(off, at[~lone], w[~lone])
+        off = np.cumsum(off)
+        off -= np.r_[0.0, off][first][g] if len(first) else 0  # shifts end with their series
+        off[at[lone]] += w[lone]
+        y[rows] -= off
+        active = np.bincount(sid[rows[at]], minlength=groups) > 0
+    return spells(x, x - y, sid, size, fit, lim), fit.scale
+
+
+def spells(x: np.ndarray, off: np.ndarray, sid: np.ndarray, size: np.ndarray, fit: Fit, lim: Limits) -> np.ndarray:
+    """Scores of the readings in spells: stretches off the level around them, as the interventions ``off`` have it, that are undone soon."""
+    n = len(x)
+    score = np.zeros(n)
+    bound, scale = fit.limit[sid] if n else x, fit.scale[sid] if n else x
+    inside = np.r_[False, sid[1:] == sid[:-1]] if n else np.zeros(0, dtype=bool)
+    change = np.flatnonzero(inside & (np.abs(np.diff(off, prepend=off[:1])) > 1e-12))
+    first = starts_of(sid)
+    ends = np.append(first[1:], n)
+    until = -1
+    for t in change.tolist():  # few: where outliers and shifts begin and end
+        if t <= until:
+            continue
+        start, end = int(first[sid[t]]), int(ends[sid[t]])
+        base, least = off[t - 1], np.inf
+        for m in range(1, min(lim.longest, end - 1 - t) + 1):
+            least = min(least, abs(off[t + m - 1] - base))
+            if least < bound[t]:
+                break
+            if abs(off[t + m] - base) <= lim.back * least:
+                score[t : t + m] = np.abs(off[t : t + m] - base) / scale[t]
+                until = t + m
+                break
+        else:
+            # nothing undoes a move near an end: only one far beyond any change of level is an outlier there
+            move = abs(x[t] - x[t - 1])
+            if move > max(lim.edge, 2.5 * bound[t]):
+                if t - start <= lim.longest and (t - start) * 3 < size[sid[t]]:
+                    score[start:t] = move / scale[t]
+                elif end - t <= lim.longest and (end - t) * 3 < size[sid[t]]:
+                    score[t:end] = move / scale[t]
+                    until = end
     return score
 
 
@@ -159,8 +228,7 @@ def judge(sid: np.ndarray, p: np.ndarray, lim: Limits) -> tuple[np.ndarray, np.n
     groups = int(sid[-1]) + 1 if len(sid) else 0
     g, x = sid[at], np.log(p[at])
     size = np.bincount(g, minlength=groups)
-    _, scale = robust_scale(x, g, groups)
-    far = spikes(x, g, scale, size, lim)
+    far, scale = spikes(x, g, size, lim)
     calm = np.flatnonzero(far == 0)
     still = stuck(x[calm], g[calm], scale, size, lim)
     reason[at[far > 0]], score[at[far > 0]] = 2, far[far > 0]
