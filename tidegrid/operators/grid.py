@@ -62,24 +62,16 @@ def regular_grid(readings: DataFrame, keys: Sequence[str], date: str, value: str
 
     coefs = gram.select(*keys, solve(F.array(*(f"__g{i}_{j}" for i, j in pairs)), F.array(*(f"__b{i}" for i in range(len(names))))).alias("__c"))
     seq = Window.partitionBy(*keys).orderBy(date)
-    dense = (
-        base.withColumn("__gap", F.coalesce(F.datediff(F.lead(date).over(seq), F.col(date)), F.lit(1)))
-        .select(*keys, date, "__y", "__first", "__last", F.explode(F.sequence(F.lit(0), F.col("__gap") - 1)).alias("__k"), "__gap")
-        .withColumn(date, F.date_add(date, F.col("__k")))
-        .join(coefs.hint("shuffle_hash"), list(keys))
-    )
     fit = sum((F.col("__c")[i] * c for i, c in enumerate(features(F.col(date), F.col("__first"), F.col("__last"), yearly))), F.lit(0.0))
     fit = F.coalesce(finite(fit), F.lit(0.0))
-    dense = dense.withColumn("__fit", fit).withColumn("__r", F.when(F.col("__k") == 0, F.col("__y") - F.col("__fit")))
-    before = F.last("__r", ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__r", ignorenulls=True).over(seq.rowsBetween(0, Window.unboundedFollowing))
-    bridge = before + (after - before) * F.col("__k") / F.col("__gap")
+    known = base.join(coefs.hint("shuffle_hash"), list(keys)).withColumn("__r", F.col("__y") - fit)
+    known = known.withColumns({"__gap": F.coalesce(F.datediff(F.lead(date).over(seq), F.col(date)), F.lit(1)), "__after": F.lead("__r").over(seq)})
+    dense = known.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__gap") - 1))).withColumn(date, F.date_add(date, F.col("__k"))).filter(F.weekday(date) < 5)
     seen = F.col("__k") == 0
-    return (
-        dense.select(*keys, date, "__k", F.exp(clip(F.when(seen, F.col("__y")).otherwise(F.col("__fit") + bridge), -LARGEST, LARGEST)).alias("value"), F.exp("__fit").alias("fitted"))
-        .filter(F.weekday(date) < 5)
-        .select(*keys, date, "value", (F.col("__k") != 0).alias("filled"), "fitted")
-    )
+    dense = dense.withColumn("__fit", F.when(seen, F.col("__y") - F.col("__r")).otherwise(fit))
+    bridge = F.col("__r") + (F.col("__after") - F.col("__r")) * F.col("__k") / F.col("__gap")
+    value = F.exp(clip(F.when(seen, F.col("__y")).otherwise(F.col("__fit") + bridge), -LARGEST, LARGEST))
+    return dense.select(*keys, date, value.alias("value"), (~seen).alias("filled"), F.exp("__fit").alias("fitted"))
 
 
 def feed_readings(markets: DataFrame, vix: DataFrame) -> DataFrame:
