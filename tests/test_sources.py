@@ -108,3 +108,26 @@ def test_http_source(spark, tmp_path):
     assert got == {"A": (200, '{"v": "A"}'), "B": (200, '{"v": "B"}'), "gone": (404, None)}
     assert len(list((tmp_path / "kept").iterdir())) == 2
     assert http.wait_of("900") == 30 and http.wait_of(None) == 2 and http.wait_of("soon") == 2 and http.wait_of("7") == 7
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidegrid.session import checkpoint_folder
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    session = lambda master, **conf: SimpleNamespace(sparkContext=Context(master), conf=SimpleNamespace(get=lambda k, d: conf.get(k, d)))
+    assert checkpoint_folder(session("spark://host:1", **{"spark.checkpoint.dir": "/shared"})) == "/shared"
+    assert checkpoint_folder(session("local[4]"))
+    for master in ("spark://host:1", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_folder(session(master))

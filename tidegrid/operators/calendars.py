@@ -47,7 +47,8 @@ def nearest(questions: DataFrame, readings: DataFrame, keys: Sequence[str], valu
     r = F.when(F.col("__asked") == 0, F.struct(F.col(date).alias("d"), F.col(value).alias("v")))
     both = readings.select(*keys, date, value, F.lit(0).alias("__asked")).unionByName(questions.withColumn("__asked", F.lit(1)), allowMissingColumns=True)
     before = F.last(r, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(r, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc(date), F.desc("__asked"))  # a running frame in the other order; one that looks ahead costs the square
+    after = F.last(r, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     x = both.withColumns({"__b": before, "__a": after}).filter("__asked = 1")
     take_before = F.col("__a").isNull() | (F.datediff(F.col(date), F.col("__b.d")) <= F.datediff(F.col("__a.d"), F.col(date)))
     return x.withColumn(value, F.when(F.col("__b").isNotNull() & take_before, F.col("__b.v")).otherwise(F.col("__a.v"))).withColumn(

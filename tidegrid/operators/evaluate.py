@@ -118,7 +118,8 @@ def benjamini_hochberg(tests: DataFrame, keys: Sequence[str], p: str, tie: str,
     w = Window.partitionBy(*keys).orderBy(p, tie)
     m, r = F.count(p).over(Window.partitionBy(*keys)), F.row_number().over(w)
     raw = tests.filter(F.col(p).isNotNull()).withColumn("__q", F.col(p) * m / r)
-    q = F.least(F.lit(1.0), F.min("__q").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys).orderBy(F.desc(p), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("__q").over(back))
     return raw.withColumn("q_value_bh", q).withColumn("significant", F.col("q_value_bh") <= alpha).drop("__q")
 
 
