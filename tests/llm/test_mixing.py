@@ -55,3 +55,35 @@ def test_dirty_and_empty(spark):
     for d, t in ((docs.filter("false"), targets), (docs, targets.filter("false"))):
         assert mixing.mix_sources(d, t).count() == 0
     assert {r["source"]: r["tokens"] for r in mixing.reached_shares(mixing.mix_sources(docs.filter("false"), targets), targets.filter("source = 'a'")).collect()} == {"a": 0}
+
+
+def test_buckets_follow_the_rows_and_tables_are_joined_where_large(spark):
+    docs, targets = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/mix_targets.parquet")
+    mix = mixing.raked_mix(docs, targets)
+    plain = {r["source"]: r for r in mixing.reached_shares(mixing.draw(mix), targets).collect()}
+    for options in ({"bucket_rows": 3}, {"most": 0}, {"bucket_rows": 3, "most": 0}):
+        x = mixing.draw(mix, **options)
+        got = {r["source"]: r for r in mixing.reached_shares(x, targets).collect()}
+        assert x.select("doc_id").distinct().count() == x.count()
+        for s, r in got.items():
+            assert (r["most_uses"] or 0) <= r["max_repeats"] and abs((r["actual_share"] or 0) - (plain[s]["actual_share"] or 0)) < 0.005
+    assert rows(mixing.draw(mix, most=0)) == rows(mixing.draw(mix))
+
+
+def test_marginals_are_reported(spark):
+    docs, targets = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/mix_targets.parquet")
+    mix = mixing.raked_mix(docs, targets)
+    got = mixing.reached_marginals(mix, mixing.draw(mix)).collect()
+    assert {r["dimension"] for r in got} == {"source", "language", "topic"}
+    for d in ("source", "language", "topic"):
+        for share in ("target_share", "raked_share", "actual_share"):
+            assert abs(sum(r[share] for r in got if r["dimension"] == d) - 1) < 1e-4
+    assert all(abs(r["raked_share"] - r["target_share"]) < 1e-6 for r in got if r["dimension"] == "source")
+    assert all(abs(r["actual_share"] - r["raked_share"]) < 0.02 for r in got) and all(r["rounds"] > 0 for r in got)
+    assert mixing.reached_marginals(*(lambda m: (m, mixing.draw(m)))(mixing.raked_mix(docs.filter("false"), targets))).count() == 0
+
+
+def test_raking_says_whether_it_converged():
+    cells = [mixing.Cell(s, lang, "x", v) for s, lang, v in (("a", "en", 90.0), ("a", "de", 10.0), ("b", "en", 10.0), ("b", "de", 90.0))]
+    shares, repeats = {"a": 0.8, "b": 0.2}, {"a": 10, "b": 10}
+    assert mixing.raked(cells, shares, repeats, total=100).converged and not mixing.raked(cells, shares, repeats, total=100, rounds=1).converged

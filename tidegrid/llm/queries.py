@@ -24,6 +24,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(p8_selection(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of sources, languages and topics with the shares reached, and how the raking ended."""
+    mix = mixing.raked_mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.reached_marginals(mix, mixing.draw(mix))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).select("doc_id", "level")
 
@@ -33,5 +39,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_ids, p8_selection, p8_shares, p9_found, p9_levels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_ids, p8_selection, p8_shares, p8_marginals, p9_found, p9_levels)}
 SQL: dict[str, str] = {}
