@@ -114,3 +114,42 @@ def test_loop_of_more_than_600_points():
     h0, h1 = k.rips_diagrams(d)
     longest = h1[np.argmax(h1[:, 1] - h1[:, 0])]
     assert len(h0) == n - 1 and np.allclose(longest, [2 * np.sin(np.pi / n), np.sqrt(3)])
+
+
+def test_error_function():
+    x = np.r_[np.linspace(-6, 6, 1001), 0.46875, -0.46875, 4, -4, 30, -30, np.nan]
+    assert np.allclose(k.erf(x), [math.erf(v) for v in x], rtol=0, atol=1e-15, equal_nan=True)
+
+
+def test_stacked_windows_as_one_each():
+    a = np.random.default_rng(0).normal(size=(7, 60, 5))
+    together = k.weighted_correlation(a)
+    assert np.allclose(together, [k.weighted_correlation(x) for x in a])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 4), st.integers(0, 4), st.integers(0, 1000))
+def test_wasserstein_is_the_best_of_all_matchings(n, m, seed):
+    rng = np.random.default_rng(seed)
+    a, b = (np.column_stack([x := rng.random(size), x + rng.random(size)]) for size in (n, m))
+    cost = np.zeros((n + m, n + m))
+    for i, j in itertools.product(range(n + m), repeat=2):
+        if i < n and j < m:
+            cost[i, j] = ((a[i] - b[j]) ** 2).sum()
+        elif i < n:
+            cost[i, j] = (a[i, 1] - a[i, 0]) ** 2 / 2
+        elif j < m:
+            cost[i, j] = (b[j, 1] - b[j, 0]) ** 2 / 2
+    least = min((sum(cost[i, p[i]] for i in range(n + m)) for p in itertools.permutations(range(n + m))), default=0.0) if n + m <= 7 else k.assignment_cost(cost)
+    assert math.isclose(k.wasserstein(a, b), math.sqrt(least), abs_tol=1e-9)
+
+
+def test_open_edges_have_no_triangle():
+    d = k.distance(k.weighted_correlation(np.random.default_rng(5).normal(size=(60, 40))))
+    i, j = np.triu_indices(40, 1)
+    order = np.argsort(d[i, j], kind="stable")
+    i, j = i[order], j[order]
+    rank = np.full((40, 40), len(i))
+    rank[i, j] = rank[j, i] = np.arange(len(i))
+    want = [e for e in range(len(i)) if not any(rank[i[e], v] < e and rank[j[e], v] < e for v in range(40))]
+    assert k.open_edges(rank, i, j).tolist() == want

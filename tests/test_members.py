@@ -32,10 +32,13 @@ def setting(spark):
 
 def test_windows_hold_the_members_of_the_day(spark):
     _, spans, panel = setting(spark)
-    x = panels.correlation_pairs(panels.with_members(panel, spans, B, "symbol"), B, "symbol", active="member_now")
-    got = {r["session"]: {s for e in r["tree"] for s in (e["src"], e["dst"])} for r in x.collect()}
+    got = {}
+    for r in panels.spanning_trees(panels.with_members(panel, spans, B, "symbol"), B, "symbol", active="member_now").collect():
+        got.setdefault(r["session"], set()).update((r["src"], r["dst"]))
     # session 71 is day 70, when the second delivery came: E has a full window at once, as its prices go back before it joined
     assert got == {s: set("ABC") if s < 71 else set("BCE") for s in range(61, 81)}
+    pairs = panels.correlation_pairs(panels.with_members(panel, spans, B, "symbol"), B, "symbol", active="member_now").collect()
+    assert {(r["session"], r["n"]) for r in pairs} == {(s, 3) for s in range(61, 81)}
     assert {r["n_assets"] for r in panels.topology_features(panels.with_members(panel, spans, B, "symbol"), B, "symbol", active="member_now").collect()} == {3}
 
 

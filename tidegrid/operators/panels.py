@@ -13,8 +13,13 @@ from ..functions import kernels
 from ..functions.timeline import Series, log_return
 from .calendars import sessions
 
-#: Sessions that one task turns into windows; it reads window - 1 sessions more.
-CHUNK = 20
+#: A task turns at least so many sessions into windows, and so many times the window; it reads window - 1 sessions more, a quarter of its own.
+CHUNK, CHUNK_WINDOWS = 20, 4
+
+
+def chunk_of(k: int) -> int:
+    """Sessions of a chunk for windows of k rows."""
+    return max(CHUNK, CHUNK_WINDOWS * k)
 
 
 def dense_panel(prices: DataFrame, entity: Sequence[str], member: str, price: str, date: str = "date") -> DataFrame:
@@ -82,7 +87,7 @@ def member_coverage(calendar: DataFrame, status: DataFrame, entity: Sequence[str
     return calendar.join(n, [*entity, "session"], "left").fillna(0, ["expected_members", "mapped", "eligible", "missing_symbols", "excluded_incomplete_or_constant"])
 
 
-def window_chunks(panel: DataFrame, entity: Sequence[str], k: int, chunk: int = CHUNK) -> DataFrame:
+def window_chunks(panel: DataFrame, entity: Sequence[str], k: int, chunk: int) -> DataFrame:
     """Each row once for every chunk of sessions whose windows of k rows hold it: with ``chunk`` numbered from 0.
 
     A task thus gets ``chunk`` + k - 1 sessions of one entity, however long or busy the entity is.
@@ -118,9 +123,9 @@ def matrix_windows(pdf: pd.DataFrame, member: str, value: str, k: int, chunk: in
             yield session, dates[session], names[ok], window[:, ok]
 
 
-def rolling_blocks(panel: DataFrame, entity: Sequence[str], member: str, kernel: Callable, schema: str, value: str = "r", k: int = 60, chunk: int = CHUNK, least: int = 3, active: str | None = None) -> DataFrame:
+def rolling_blocks(panel: DataFrame, entity: Sequence[str], member: str, kernel: Callable, schema: str, value: str = "r", k: int = 60, chunk: int | None = None, least: int = 3, active: str | None = None) -> DataFrame:
     """``kernel(session, date, members, block)`` -> rows (tuples) of ``schema`` for every window of every entity, of its ``active`` members if named."""
-    keys = [*entity, "chunk"]
+    keys, chunk = [*entity, "chunk"], chunk or chunk_of(k)
     kinds = {f.name: f.dataType.simpleString() for f in panel.schema.fields}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,43 +156,51 @@ FEATURES = [
 ]
 
 
-_SUMMARY = "session int, date date, n_assets int, " + ", ".join(f"{c} double" for c in FEATURES) + ", bars array<struct<birth:double,death:double>>, betti0 array<int>, betti1 array<int>, landscape array<double>, image array<double>"
+#: Series and images of a window that are made only if asked for.
+EXTRAS = {"betti0": "array<int>", "betti1": "array<int>", "landscape": "array<double>", "image": "array<double>"}
+
 
+def _summary_schema(extras: Sequence[str]) -> str:
+    return "session int, date date, n_assets int, " + ", ".join(f"{c} double" for c in FEATURES) + ", bars array<struct<birth:double,death:double>>" + "".join(f", {c} {EXTRAS[c]}" for c in extras)
 
-def _summary_row(session, date, block: np.ndarray, decay: float, shrink: float) -> tuple:
+
+def _summary_row(session, date, block: np.ndarray, decay: float, shrink: float, extras: Sequence[str]) -> tuple:
     features, bars, curves = kernels.topology_summary(block, decay, shrink)
-    return (session, date, features["n_assets"], *(features[c] for c in FEATURES), [{"birth": float(b), "death": float(d)} for b, d in bars], curves["betti0"].tolist(), curves["betti1"].tolist(), curves["landscape"].tolist(), kernels.persistence_image(bars).tolist())
+    more = (kernels.persistence_image(bars) if c == "image" else curves[c] for c in extras)
+    return (session, date, features["n_assets"], *(features[c] for c in FEATURES), [{"birth": b, "death": d} for b, d in bars.tolist()], *(x.tolist() for x in more))
 
 
-def topology_features(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r", active: str | None = None) -> DataFrame:
-    """Per entity and session: n_assets, the summary features, ``bars`` (dimension 1), Betti curves, landscape and persistence image."""
+def topology_features(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r", active: str | None = None, extras: Sequence[str] = tuple(EXTRAS)) -> DataFrame:
+    """Per entity and session: n_assets, the summary features, ``bars`` (dimension 1) and those of Betti curves, landscape and persistence image that are in ``extras``."""
 
     def kernel(session, date, members, block):
-        yield _summary_row(session, date, block, decay, shrink)
+        yield _summary_row(session, date, block, decay, shrink, extras)
 
-    return rolling_blocks(panel, entity, member, kernel, _SUMMARY, value, k, active=active)
+    return rolling_blocks(panel, entity, member, kernel, _summary_schema(extras), value, k, active=active)
 
 
-def topology_grid(panel: DataFrame, entity: Sequence[str], member: str, variants: Mapping[str, tuple[int, float, float, str]], active: str | None = None, chunk: int = CHUNK, least: int = 3) -> DataFrame:
+def topology_grid(panel: DataFrame, entity: Sequence[str], member: str, variants: Mapping[str, tuple[int, float, float, str]], active: str | None = None, chunk: int | None = None, least: int = 3, extras: Sequence[str] = tuple(EXTRAS)) -> DataFrame:
     """``topology_features`` under each of ``variants``, name: (k, decay, shrink, value column), with the name as ``variant``.
 
     The chunks hold the rows of the longest window, so that the panel is spread once for all variants.
     """
     values = sorted({v for *_, v in variants.values()})
     kinds = {f.name: f.dataType.simpleString() for f in panel.schema.fields}
+    longest = max(k for k, *_ in variants.values())
+    chunk = chunk or chunk_of(longest)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [
-            (*key[:-1], name, *_summary_row(session, date, block, decay, shrink))
+            (*key[:-1], name, *_summary_row(session, date, block, decay, shrink, extras))
             for name, (k, decay, shrink, value) in variants.items()
             for session, date, _, block in matrix_windows(pdf, member, value, k, chunk, least, active=active)
         ]
         return pd.DataFrame(rows, columns=names)
 
-    full = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", variant string, " + _SUMMARY
+    full = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", variant string, " + _summary_schema(extras)
     names = [part.strip().split(" ")[0] for part in _split_schema(full)]
     rows = panel.filter(F.coalesce(*values).isNotNull()).select(*entity, member, "session", "date", *values, *([active] if active else []))
-    return window_chunks(rows, entity, max(k for k, *_ in variants.values()), chunk).groupBy(*entity, "chunk").applyInPandas(run, full)
+    return window_chunks(rows, entity, longest, chunk).groupBy(*entity, "chunk").applyInPandas(run, full)
 
 
 def diagram_velocity(topology: DataFrame, entity: Sequence[str]) -> DataFrame:
@@ -204,15 +217,24 @@ def diagram_velocity(topology: DataFrame, entity: Sequence[str]) -> DataFrame:
 
 
 def correlation_pairs(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r", active: str | None = None) -> DataFrame:
-    """Average, smallest and largest shrunk correlation, tree weight of the distance and the strongest links, per session."""
+    """Average, smallest and largest shrunk correlation of the pairs of each window: entity, session, date, n, average, lowest, highest."""
 
     def kernel(session, date, members, block):
         rho = kernels.weighted_correlation(block, decay, shrink)
-        i, j = np.triu_indices(len(rho), 1)
-        tree = kernels.spanning_tree(kernels.distance(rho))
-        yield session, date, len(rho), float(rho[i, j].mean()), float(rho[i, j].min()), float(rho[i, j].max()), float(sum(w for *_, w in tree)), [{"src": str(members[a]), "dst": str(members[b]), "weight": w} for a, b, w in tree]
+        pairs = rho[np.triu_indices(len(rho), 1)]
+        yield session, date, len(rho), float(pairs.mean()), float(pairs.min()), float(pairs.max())
+
+    return rolling_blocks(panel, entity, member, kernel, "session int, date date, n int, average double, lowest double, highest double", value, k, active=active)
+
+
+def spanning_trees(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r", active: str | None = None) -> DataFrame:
+    """The links of the minimum spanning tree of each window's distances: entity, session, date, ``src``, ``dst``, ``weight``."""
+
+    def kernel(session, date, members, block):
+        for a, b, w in kernels.spanning_tree(kernels.distance(kernels.weighted_correlation(block, decay, shrink))):
+            yield session, date, str(members[a]), str(members[b]), w
 
-    return rolling_blocks(panel, entity, member, kernel, "session int, date date, n int, average double, lowest double, highest double, tree_weight double, tree array<struct<src:string,dst:string,weight:double>>", value, k, active=active)
+    return rolling_blocks(panel, entity, member, kernel, "session int, date date, src string, dst string, weight double", value, k, active=active)
 
 
 def correlation_sql(panel: DataFrame, entity: Sequence[str], member: str, k: int = 60, decay: float = 0.94, shrink: float = 0.1, value: str = "r") -> DataFrame:

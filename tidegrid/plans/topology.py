@@ -45,13 +45,13 @@ def q_member_correlation(spark, d):
 @cat.add()
 def q_spanning_tree(spark, d):
     """Edges of the minimum spanning tree of each window of the day's members, counted by asset: the degree in the tree."""
-    x = panels.correlation_pairs(member_panel(spark, d), BASKET, "symbol", active="member_now").select("basket", "session", F.explode("tree").alias("e"))
-    return x.select("basket", "session", F.explode(F.array("e.src", "e.dst")).alias("symbol")).groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("session").alias("sessions"))
+    x = panels.spanning_trees(member_panel(spark, d), BASKET, "symbol", active="member_now")
+    return x.select("basket", "session", F.explode(F.array("src", "dst")).alias("symbol")).groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("session").alias("sessions"))
 
 
-def topology(spark, d):
+def topology(spark, d, *extras):
     """Summaries of every window of at least three of the day's members."""
-    return panels.topology_features(member_panel(spark, d), BASKET, "symbol", active="member_now")
+    return panels.topology_features(member_panel(spark, d), BASKET, "symbol", active="member_now", extras=extras)
 
 
 @cat.add()
@@ -64,14 +64,14 @@ def q_topology_features(spark, d):
 @cat.add()
 def q_betti_curves(spark, d):
     """Mean Betti numbers at each grid value, per basket."""
-    x = topology(spark, d).select("basket", F.posexplode(F.arrays_zip("betti0", "betti1")).alias("i", "b"))
+    x = topology(spark, d, "betti0", "betti1").select("basket", F.posexplode(F.arrays_zip("betti0", "betti1")).alias("i", "b"))
     return x.groupBy("basket", "i").agg(F.round(F.avg("b.betti0"), 9).alias("betti0"), F.round(F.avg("b.betti1"), 9).alias("betti1"))
 
 
 @cat.add()
 def q_persistence_image(spark, d):
     """Mean mass of each pixel of the persistence images, per basket."""
-    x = topology(spark, d).select("basket", F.posexplode("image").alias("pixel", "mass"))
+    x = topology(spark, d, "image").select("basket", F.posexplode("image").alias("pixel", "mass"))
     return x.groupBy("basket", "pixel").agg(F.round(F.avg("mass"), 12).alias("mass"))
 
 
@@ -124,7 +124,7 @@ BETTI_AT = (80, 90, 100, 110)
 def q_parameter_grid(spark, d):
     """All summaries of every window, with the diagram velocity and Betti numbers per asset, under other windows, decays, shrinkages and masked returns."""
     panel = member_panel(spark, d).withColumn("q", capped_magnitude("r", 0.5))
-    x = panels.diagram_velocity(panels.topology_grid(panel, BASKET, "symbol", VARIANTS, "member_now"), [*BASKET, "variant"])
+    x = panels.diagram_velocity(panels.topology_grid(panel, BASKET, "symbol", VARIANTS, "member_now", extras=("betti1",)), [*BASKET, "variant"])
     settings = [F.create_map(*(F.lit(v) for name, setting in VARIANTS.items() for v in (name, setting[i])))[F.col("variant")].alias(c) for i, c in enumerate(("k", "decay", "shrink"))]
     betti = [F.round(F.get("betti1", F.lit(j)) / F.col("n_assets"), 9).alias(f"betti_{j:03}") for j in BETTI_AT]
     tree = F.round(F.col("h0_mean_lifetime") * (F.col("n_assets") - 1), 7).alias("tree_weight")
