@@ -123,8 +123,9 @@ class TokenAutomaton:
 class BatchEncoder:
     """Encodes Arrow string columns: words are cut for the whole column, each distinct word is encoded once."""
 
-    #: The table of known words is emptied when it holds so many; that costs time only.
+    #: The tables of known words and of arcs asked for are emptied when they hold so many; that costs time only.
     MOST_WORDS = 1_000_000
+    MOST_ARCS = 500_000
 
     def __init__(self, automaton: TokenAutomaton):
         self.automaton = automaton
@@ -143,6 +144,8 @@ class BatchEncoder:
         if len(index) > self.MOST_WORDS:
             self.clear()
             index = self.index
+        if len(self.automaton.arcs) > self.MOST_ARCS:
+            self.automaton.arcs.clear()
         out = np.empty(len(words), dtype=np.int64)
         for k, word in enumerate(words):
             i = index.get(word)
