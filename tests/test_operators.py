@@ -116,14 +116,35 @@ def test_bootstrap_agrees_with_direct(spark):
     y = rng.integers(0, 2, 90)
     a, b = y + rng.normal(size=90), rng.normal(size=90)
     df = spark.createDataFrame([(i, int(y[i]), float(a[i]), float(b[i])) for i in range(90)], "row int, label int, m double, r double")
-    got = evaluate.bootstrap_difference(df, "m", "r", evaluate.block_starts(spark, 90, 20, 50)).first()
-    starts = np.random.default_rng(42).integers(0, 71, size=(50, 5))
+    here, joined = (evaluate.bootstrap_difference(df, "m", "r", "row", (20, 200), 50, most=most).orderBy("block_sessions").collect() for most in (1000, 0))
+    for one, two in zip(here, joined):
+        assert all(x == y or np.isclose(x, y) for x, y in zip(one, two))
+    prime = 2147483647
+
+    def start(draw, k):
+        v = (draw * 7919 + k * 104729 + 20 * 31 + 42) % prime + 1
+        x = v * 48271 % prime
+        for _ in range(2):
+            x = (x * x + v) % prime
+        return x * 71 // prime
+
     d = []
-    for s in starts:
-        at = (s[:, None] + np.arange(20)).ravel()[:90]
+    for draw in range(50):
+        at = np.concatenate([start(draw, k) + np.arange(20) for k in range(5)])[:90]
         if 0 < y[at].sum() < 90:
             d.append(average_precision(y[at].astype(float), a[at]) - average_precision(y[at].astype(float), b[at]))
+    got = here[0]
     assert got["draws"] == len(d) and np.isclose(got["lower95"], np.quantile(d, 0.025)) and np.isclose(got["share_draws_favouring_model"], (np.array(d) > 0).mean())
+    assert here[1]["draws"] == 50 and np.isclose(here[1]["lower95"], got["ap_difference"])  # a block as long as the table is the table
+    assert evaluate.bootstrap_difference(df.filter("false"), "m", "r", "row", draws=5).filter("draws > 0").count() == 0
+
+
+def test_block_starts_spread_evenly(spark):
+    got = evaluate.block_starts(spark, 1000, 10, 400).filter("position % 10 = 0").toPandas()
+    count = np.histogram(got["row"], bins=10, range=(0, 991))[0]
+    assert len(got) == 40_000 and count.min() > 3700 and count.max() < 4300
+    by_draw = got.sort_values(["draw", "position"]).groupby("draw")["row"].apply(list)
+    assert abs(np.corrcoef([x[:-1] for x in by_draw][0], [x[1:] for x in by_draw][0])[0, 1]) < 0.3 and abs(np.corrcoef([x[0] for x in by_draw], [x[1] for x in by_draw])[0, 1]) < 0.15
 
 
 def test_walk_forward_reads_no_future(spark):

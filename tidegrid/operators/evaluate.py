@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+
 
 def alarm_threshold(scored: DataFrame, keys: Sequence[str], budgets: Sequence[float], label: str = "label", score: str = "score") -> DataFrame:
     """keys, budget, threshold: the order statistic at ceil((1 - budget)(n - 1)) of the scores with label 0.
 
     That is the quantile that never lies below the exact one, so that with alarms strictly above it at most the budget
-    of the negatives is alarmed. Equal scores are counted first, so a task never holds every row of a key.
+    of the negatives is alarmed. Equal scores are counted first, on the map side; the distinct scores of a key pass one task.
     """
     counts = scored.filter((F.col(label) == 0) & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*keys).orderBy(score)
@@ -24,7 +28,10 @@ def alarm_threshold(scored: DataFrame, keys: Sequence[str], budgets: Sequence[fl
 
 
 def rank_metrics(scored: DataFrame, keys: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
-    """keys, n, positives, prevalence, auroc (null for one class), average_precision (null without positives); ties share ranks."""
+    """keys, n, positives, prevalence, auroc (null for one class), average_precision (null without positives); ties share ranks.
+
+    Equal scores are counted first, on the map side; the distinct scores of a key pass one task as running sums.
+    """
     g = scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(label).cast("bigint")).alias("__k"))
     up = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
@@ -123,35 +130,101 @@ def benjamini_hochberg(tests: DataFrame, keys: Sequence[str], p: str, tie: str,
     return raw.withColumn("q_value_bh", q).withColumn("significant", F.col("q_value_bh") <= alpha).drop("__q")
 
 
+def joined(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """The inner join by all of ``on``; other columns that both have get the suffixes. Null keys meet nothing."""
+    both = (set(left.columns) & set(right.columns)) - set(on)
+    named = lambda df, suffix: df.select(*(F.col(f"`{c}`").alias(c + suffix if c in both else c) for c in df.columns))
+    return named(left, suffixes[0]).join(named(right, suffixes[1]), list(on))
+
+
+def reproduction(now: DataFrame, published: DataFrame, on: Sequence[str], by: Sequence[str], value: str, alarm: str) -> DataFrame:
+    """What was recomputed against what was published, joined by ``on``: for each of ``by`` rows, ``most`` (largest difference in ``value``), alarm_mismatches."""
+    x = joined(now, published, on, ("", "_published"))
+    return x.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col(value) - F.col(f"{value}_published"))), 9).alias("most"), F.count_if(~F.col(alarm).eqNullSafe(F.col(f"{alarm}_published"))).alias("alarm_mismatches"))
+
+
+#: A pair table of up to so many rows goes to the tasks as arrays; a larger one is joined.
+MAX_PAIRED = 1_000_000
+_PRIME = 2_147_483_647
+
+
+def _mixed(draw, k, block: int, seed: int):
+    """A number below the prime from a draw and a block's place in it: squares modulo the prime, alike for columns and arrays."""
+    a = (draw * 7919 + k * 104729 + (block * 31 + seed)) % _PRIME + 1
+    x = a * 48271 % _PRIME
+    x = (x * x + a) % _PRIME
+    return (x * x + a) % _PRIME
+
+
 def block_starts(spark: SparkSession, n: int, block: int, draws: int, seed: int = 42) -> DataFrame:
-    """draw, position, row: the rows (from 0) of each moving-block sample, seeded anew for each block length."""
+    """draw, position, row: the rows (from 0) of each moving-block sample, differently for each block length.
+
+    Starts are computed from draw and place where the rows are made; nothing is listed on the driver.
+    """
     block = max(1, min(block, n))
-    rng = np.random.default_rng(seed)
     per = -(-n // block) if n else 0
-    starts = rng.integers(0, n - block + 1, size=(draws, per)) if n else np.zeros((draws, 0), dtype=int)
-    rows = [(d, k, int(starts[d, k])) for d in range(draws) for k in range(per)]
-    df = spark.createDataFrame(rows, "draw int, k int, start int")
-    return df.select("draw", "k", "start", F.posexplode(F.sequence(F.lit(0), F.lit(block - 1)))).select("draw", (F.col("k") * block + F.col("pos")).alias("position"), (F.col("start") + F.col("pos")).alias("row")).filter(F.col("position") < n)
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(max(per, 1) - 1).cast("bigint"))
+    base = spark.range(draws).select(F.col("id").alias("draw"), F.explode(places).alias("k")).filter(F.lit(n > 0))
+    start = (_mixed(F.col("draw"), F.col("k"), block, seed) * F.lit(n - block + 1) / F.lit(_PRIME)).cast("bigint")
+    each = base.withColumn("start", start).select("draw", "k", "start", F.posexplode(F.sequence(F.lit(0), F.lit(block - 1))))
+    return each.select(F.col("draw").cast("int").alias("draw"), (F.col("k") * block + F.col("pos")).alias("position"), (F.col("start") + F.col("pos")).alias("row")).filter(F.col("position") < n)
 
 
-def bootstrap_difference(paired: DataFrame, model: str, reference: str, starts: DataFrame, row: str = "row", label: str = "label", family: int = 1) -> DataFrame:
-    """Moving-block bootstrap of the difference in average precision of two scores: one row.
+def bootstrap_difference(paired: DataFrame, model: str, reference: str, order: str, blocks: Sequence[int] = (20, 60, 120), draws: int = 500, seed: int = 42, family: int = 1, label: str = "label", most: int = MAX_PAIRED) -> DataFrame:
+    """Moving-block bootstrap of the difference in average precision of two scores: one row for each block length.
 
-    ``paired`` has a row number from 0, label and two scores; samples of one class are left out. Columns: draws,
-    ap_difference (of the whole), lower95, upper95, lower_bonferroni, upper_bonferroni, share_draws_favouring_model, p_approx.
+    ``paired`` has one row per value of ``order``, a label and two scores; rows with a null are left out, samples of one class
+    too. Columns: block_sessions, draws, ap_difference (of the whole), lower95, upper95, lower_bonferroni, upper_bonferroni,
+    share_draws_favouring_model, p_approx. Tables of up to ``most`` rows go to the tasks as arrays, and every draw is one small
+    computation there; larger ones are numbered and joined with the drawn rows. No rows give no draws.
     """
-    sample = starts.select("draw", "row").unionByName(paired.select(F.lit(-1).alias("draw"), F.col(row).alias("row")))  # draw -1 is the whole
-    sample = sample.withColumnRenamed("row", "__row").join(paired, F.col("__row") == F.col(row))
-    both = F.explode(F.array(F.struct(F.lit("m").alias("w"), F.col(model).alias("s")), F.struct(F.lit("r").alias("w"), F.col(reference).alias("s"))))
-    ap = rank_metrics(sample.select("draw", label, both.alias("x")).select("draw", label, "x.w", "x.s"), ["draw", "w"], label, "s")
-    delta = F.max(F.when(F.col("w") == "m", F.col("average_precision"))) - F.max(F.when(F.col("w") == "r", F.col("average_precision")))
-    each = ap.groupBy("draw").agg(delta.alias("d"), F.min("auroc").alias("two"))
-    drawn = F.when((F.col("draw") >= 0) & F.col("two").isNotNull(), F.col("d"))
+    spark = paired.sparkSession
+    rows = paired.dropna(subset=[order, label, model, reference]).select(order, F.col(label).cast("double").alias("y"), F.col(model).cast("double").alias("m"), F.col(reference).cast("double").alias("r"))
+    held = rows.orderBy(order).limit(most + 1).toPandas()
+    each = _drawn_here(spark, held, blocks, draws, seed) if len(held) <= most else _drawn_by_joins(rows, order, blocks, draws, seed)
+    drawn = F.when(F.col("draw") >= 0, F.col("d"))
     tail = 0.05 / family / 2
     s = F.avg((drawn > 0).cast("double"))
-    return each.agg(
+    return each.groupBy(F.col("block").alias("block_sessions")).agg(
         F.count(drawn).alias("draws"), F.max(F.when(F.col("draw") < 0, F.col("d"))).alias("ap_difference"),
         F.percentile(drawn, 0.025).alias("lower95"), F.percentile(drawn, 0.975).alias("upper95"),
         F.percentile(drawn, tail).alias("lower_bonferroni"), F.percentile(drawn, 1 - tail).alias("upper_bonferroni"),
         s.alias("share_draws_favouring_model"), F.greatest(F.lit(1 / 501), F.least(F.lit(1.0), F.least(s, 1 - s) * 2)).alias("p_approx"),
     )
+
+
+def _drawn_here(spark: SparkSession, held: pd.DataFrame, blocks: Sequence[int], draws: int, seed: int) -> DataFrame:
+    """block, draw (-1: the whole), d (null for one class) from arrays that every task has."""
+    shared = spark.sparkContext.broadcast([held[c].to_numpy(dtype=float) for c in ("y", "m", "r")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, m, r = shared.value
+        n = len(y)
+        for batch in batches:
+            out = []
+            for size, draw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = np.arange(n)
+                if draw >= 0 and n:
+                    block = max(1, min(size, n))
+                    starts = _mixed(np.int64(draw), np.arange(-(-n // block), dtype=np.int64), block, seed) * (n - block + 1) / _PRIME
+                    at = (starts.astype(np.int64)[:, None] + np.arange(block)).ravel()[:n]
+                hits = y[at].sum()
+                out.append(kernels.average_precision(y[at], m[at]) - kernels.average_precision(y[at], r[at]) if 0 < hits < n else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["block", "draw", "d"])
+
+    each = F.explode(F.array(*map(F.lit, blocks))).alias("block")
+    return spark.range(-1, draws).select(each, F.col("id").cast("int").alias("draw")).mapInArrow(run, "block int, draw int, d double")
+
+
+def _drawn_by_joins(rows: DataFrame, order: str, blocks: Sequence[int], draws: int, seed: int) -> DataFrame:
+    """The same by relational operators; rows are numbered by a window over ``order`` alone, one small row a session."""
+    spark, n = rows.sparkSession, rows.count()
+    numbered = rows.withColumn("row", (F.row_number().over(Window.partitionBy().orderBy(order)) - 1).cast("bigint"))
+    sample = numbered.select(F.explode(F.array(*map(F.lit, blocks))).alias("block"), F.lit(-1).alias("draw"), "row")
+    for block in blocks:
+        sample = sample.unionByName(block_starts(spark, n, block, draws, seed).select(F.lit(block).alias("block"), "draw", "row"))
+    both = F.explode(F.array(F.struct(F.lit("m").alias("w"), F.col("m").alias("s")), F.struct(F.lit("r").alias("w"), F.col("r").alias("s"))))
+    ap = rank_metrics(sample.join(numbered, "row").select("block", "draw", "y", both.alias("x")).select("block", "draw", "y", "x.w", "x.s"), ["block", "draw", "w"], "y", "s")
+    delta = F.max(F.when(F.col("w") == "m", F.col("average_precision"))) - F.max(F.when(F.col("w") == "r", F.col("average_precision")))
+    each = ap.groupBy("block", "draw").agg(delta.alias("d"), F.min("auroc").alias("two"))
+    return each.select("block", "draw", F.when(F.col("two").isNotNull(), F.col("d")).alias("d"))

@@ -131,17 +131,23 @@ def q_bh_fdr(spark, d):
     return rounded(evaluate.benjamini_hochberg(p, ["k"], "p", "m"), "q_value_bh")
 
 
-@cat.add()
+DRAWS, BLOCKS = 500, (20, 60, 120)
+BOOTSTRAP = f"""pr AS (SELECT date, max(label) AS label, round(avg(score), 6) AS model, round(avg(p), 3) AS reference, row_number() OVER (ORDER BY date) - 1 AS i FROM ev WHERE label IS NOT NULL GROUP BY date),
+cnt AS (SELECT count(*) AS n FROM pr), bl AS (SELECT unnest({list(BLOCKS)}) AS bs), pl AS (SELECT bs, n, least(bs, n) AS b FROM bl, cnt),
+st AS (SELECT bs, n, b, draw, k, (draw * 7919 + k * 104729 + (b * 31 + 42)) % 2147483647 + 1 AS a FROM (SELECT *, unnest(range((n + b - 1) // b)) AS k FROM pl), range({DRAWS}) d(draw)),
+s1 AS (SELECT *, a * 48271 % 2147483647 AS x FROM st), s2 AS (SELECT * REPLACE ((x * x + a) % 2147483647 AS x) FROM s1), s3 AS (SELECT * REPLACE ((x * x + a) % 2147483647 AS x) FROM s2),
+dr AS (SELECT bs, draw, x * (n - b + 1) // 2147483647 + o AS i FROM (SELECT *, unnest(range(b)) AS o FROM s3) WHERE k * b + o < n UNION ALL SELECT bs, -1, i FROM bl, pr),
+bo AS (SELECT bs, draw, label, unnest(['m', 'r']) AS w, unnest([model, reference]) AS score FROM dr JOIN pr USING (i))"""
+
+
+@cat.add(f"""WITH {SCORED}, {BOOTSTRAP}, {rank_sql('bo', 'bs, draw, w')}, dl AS (SELECT bs, draw, max(average_precision) FILTER (w = 'm') - max(average_precision) FILTER (w = 'r') AS d FROM rm WHERE auroc IS NOT NULL GROUP BY ALL),
+ag AS (SELECT bs, count(*) FILTER (draw >= 0) AS draws, max(d) FILTER (draw < 0) AS w, list(d) FILTER (draw >= 0) AS l, avg((d > 0)::INT) FILTER (draw >= 0) AS s FROM dl GROUP BY bs)
+SELECT bs::INT AS block_sessions, draws, round(w, 8) AS ap_difference, {', '.join(f"round(list_aggregate(l, 'quantile_cont', {q!r}), 8) AS {c}" for c, q in (('lower95', 0.025), ('upper95', 0.975), ('lower_bonferroni', 0.05 / 3 / 2), ('upper_bonferroni', 1 - 0.05 / 3 / 2)))}, round(s, 8) AS share_draws_favouring_model, round(greatest(1 / 501, least(1, 2 * least(s, 1 - s))), 8) AS p_approx FROM ag""")
 def q_block_bootstrap(spark, d):
-    """Difference in average precision of the drawdown and the price as scores, over moving blocks of each priority's rows."""
+    """Difference in average precision of the drawdown and the price as scores, over moving blocks of the days' means."""
     x = scored(spark, d).filter(LABELLED).groupBy("date").agg(F.max("label").alias("label"), F.round(F.avg("score"), 6).alias("model"), F.round(F.avg("p"), 3).alias("reference"))
-    x = x.withColumn("row", F.row_number().over(Window.partitionBy().orderBy("date")) - 1)  # one row per calendar day
-    n = x.count()
-    out = None
-    for block in (20, 60, 120):
-        one = evaluate.bootstrap_difference(x, "model", "reference", evaluate.block_starts(spark, n, block, 500), family=3).withColumn("block_sessions", F.lit(block))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = evaluate.bootstrap_difference(x, "model", "reference", "date", BLOCKS, DRAWS, family=3)
+    return rounded(out, *(c for c in out.columns if c not in ("block_sessions", "draws")), digits=8)
 
 
 @cat.add(f"""WITH {SCORED}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) AS i FROM ev),
@@ -218,12 +224,44 @@ def q_boosted_scores(spark, d):
 
 
 @cat.add(f"WITH {SCORED}, w AS (SELECT *, CASE WHEN count(p) OVER a = 60 THEN avg(p) OVER a END AS m FROM ev WINDOW a AS (PARTITION BY k ORDER BY date ROWS 59 PRECEDING)) SELECT k, {DAY}, round(1 / (1 + exp(-(-2 + 30 * score - 0.5 * p / m))), 9) AS score FROM w WHERE m IS NOT NULL")
-def q_frozen_transfer(spark, d):
-    """A logistic model fitted elsewhere applied unchanged."""
+def q_frozen_scores(spark, d):
+    """A logistic model of given coefficients applied as it stands."""
     x = scored(spark, d).withColumn("m", t.ratio_to_mean(REV, "p", 60)).filter("m is not null").withColumn("drawdown", F.col("score"))
     return models.frozen_scores({"drawdown": 30.0, "m": -0.5}, -2.0, x).select("k", text_date(), F.round("score", 9).alias("score"))
 
 
+SOURCE = "1-URGENT"
+
+
+@cat.add()
+def q_frozen_transfer(spark, d):
+    """Each year's models and 5 % thresholds of one priority applied unchanged to the others, with alarm metrics."""
+    x = features(spark, d)
+    rows = models.complete_rows(x, ["k"], models.columns_of(GROUPS))
+    home = rows.filter(F.col("k") == SOURCE)
+    splits = evaluate.purged_splits(home, ["k"])
+    fits = models.fit_years(home, splits, ["k"], GROUPS)
+    held = models.parts(home, splits, ["k"]).filter("part = 'calibration'").join(fits, ["k", "year"]).withColumn("score", models.score_of(GROUPS))
+    thresholds = evaluate.alarm_threshold(held, ["year", "model"], (0.05,))
+    away = models.transfer(fits, thresholds, rows.filter(F.col("k") != SOURCE).select("k", "date", "label", *models.columns_of(GROUPS)), GROUPS)
+    return evaluate.alarm_metrics(away.filter(LABELLED), ["k", "model"])
+
+
+RAW = """raw AS (SELECT k, date, label, label_end, score FROM (SELECT k, date, label, label_end, lag(score) OVER (PARTITION BY k ORDER BY date) AS score FROM ev) WHERE score IS NOT NULL)"""
+RAW_SPLITS = SPLITS.replace("FROM ev GROUP", "FROM raw GROUP").replace("JOIN ev e", "JOIN raw e")
+
+
+@cat.add(f"""WITH {SCORED}, {RAW}, {RAW_SPLITS}, calib AS (SELECT s.k, s.year, r.label, r.score FROM splits s JOIN raw r ON r.k = s.k AND r.date >= s.calibration_start AND r.label_end < make_date(s.year, 1, 1)),
+thr AS (SELECT k, year, b AS budget, q[ceil((1 - b) * (len(q) - 1))::INT + 1] AS threshold FROM (SELECT k, year, list(score ORDER BY score) AS q FROM calib WHERE label = 0 GROUP BY ALL), (SELECT unnest([0.01::DOUBLE, 0.05, 0.10]) AS b))
+SELECT t.k, t.budget, count(*) AS n, count(*) FILTER (r.score > threshold AND label = 1) AS tp, count(*) FILTER (r.score > threshold AND label = 0) AS fp, count(*) FILTER (r.score <= threshold AND label = 1) AS fn, count(*) FILTER (r.score <= threshold AND label = 0) AS tn
+FROM thr t JOIN raw r ON r.k = t.k AND year(r.date) = t.year WHERE label IS NOT NULL GROUP BY ALL""")
+def q_raw_benchmark(spark, d):
+    """The score of the day before, unfitted, with the thresholds that its own calibration rows give at three budgets."""
+    x = scored(spark, d).withColumn("score", t.shifted(REV, "score", 1))
+    alarms = models.calibrated_alarms(models.raw_benchmark(x, ["k"], "score", "raw"), ["k"])
+    return evaluate.alarm_metrics(alarms.filter(LABELLED), ["k", "budget"]).select("k", "budget", "n", "tp", "fp", "fn", "tn")
+
+
 @cat.add(f"WITH {SCORED}, a AS (SELECT k, avg(label) AS p FROM ev WHERE label_end < DATE '1998-01-01' GROUP BY k) SELECT e.k, round(a.p, 9) AS score, round(avg((a.p - e.label) ** 2), 9) AS brier, count(*) AS n FROM ev e JOIN a USING (k) WHERE e.date >= DATE '1998-01-01' AND label IS NOT NULL GROUP BY ALL")
 def q_constant_benchmark(spark, d):
     """The training prevalence for every later day."""
@@ -233,19 +271,31 @@ def q_constant_benchmark(spark, d):
     return rounded(y.groupBy("k", "score").agg(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2.0))).alias("brier"), F.count(F.lit(1)).alias("n")), "score", "brier")
 
 
-COORDS = """co AS (SELECT k, label, unnest([0, 1, 2]) AS coordinate, unnest([score, p, -p]) AS score FROM ev WHERE label IS NOT NULL)"""
+COORDINATES, SPLIT = 200, "1998-01-01"
+COORDS = f"""nu AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) AS i FROM ev), ar AS (SELECT k, date, label, label_end, list(score) OVER (PARTITION BY k ORDER BY date ROWS {COORDINATES - 1} PRECEDING) AS a, i FROM nu),
+co AS (SELECT k, date, label, label_end, unnest(range({COORDINATES})) AS coordinate, unnest(list_reverse(a)) AS score FROM ar WHERE i >= {COORDINATES} AND label IS NOT NULL),
+tr AS (SELECT * FROM co WHERE label_end < DATE '{SPLIT}'), {rank_sql('tr', 'k, coordinate')}, chosen AS (SELECT k, coordinate, round(greatest(auroc, 1 - auroc), 9) AS strength, CASE WHEN auroc >= 0.5 THEN 1 ELSE -1 END AS sign FROM rm
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY coalesce(round(greatest(auroc, 1 - auroc), 9), -1) DESC, coordinate) = 1)"""
 
 
-@cat.add(f"WITH {SCORED}, {COORDS}, {rank_sql('co', 'k, coordinate')} SELECT k, coordinate::INT AS coordinate, round(auroc, 9) AS auroc, CASE WHEN auroc >= 0.5 THEN 1 ELSE -1 END AS sign FROM rm QUALIFY row_number() OVER (PARTITION BY k ORDER BY coalesce(greatest(auroc, 1 - auroc), -1) DESC, coordinate) = 1")
+@cat.add(f"WITH {SCORED}, {COORDS}, te AS (SELECT c.k, c.coordinate, strength, sign, label, sign * score AS score FROM chosen c JOIN co USING (k, coordinate) WHERE date >= DATE '{SPLIT}'), {rank_sql('te', 'k, coordinate, strength, sign').replace('g AS', 'g2 AS', 1).replace('gg AS', 'gg2 AS').replace('FROM g)', 'FROM g2)').replace('rm AS', 'rm2 AS').replace('FROM gg ', 'FROM gg2 ')} SELECT k, coordinate::INT AS coordinate, strength, sign, n, positives, round(auroc, 9) AS test_auroc, round(average_precision, 9) AS test_ap FROM rm2")
 def q_best_coordinate(spark, d):
-    """The coordinate of an array that ranks labels best in either direction."""
-    x = scored(spark, d).filter(LABELLED).withColumn("a", F.array("score", "p", -F.col("p")))
-    return rounded(models.best_coordinate(x, ["k"], "a"), "auroc")
-
-
-@cat.add(f"WITH {SCORED}, {rank_sql('ev', 'k')}, a AS (SELECT k, round(auroc, 6) AS x FROM rm) SELECT a.k, round(max(abs(a.x - rm.auroc)), 5) AS most, count(*) AS n FROM a JOIN rm USING (k) GROUP BY ALL")
+    """The coordinate, of each day's last 200 scores, that ranks the labels before a day best in either direction, and its metrics after it."""
+    frame = REV.trailing(COORDINATES)
+    x = scored(spark, d).withColumn("a", F.when(F.count("score").over(frame) == COORDINATES, F.reverse(F.collect_list("score").over(frame)))).filter("a is not null and label is not null")
+    best = rounded(models.best_coordinate(x.filter(f"label_end < date'{SPLIT}'"), ["k"], "a", digits=9), "auroc")
+    test = x.filter(f"date >= date'{SPLIT}'").join(best, "k").withColumn("s", F.col("sign") * F.get("a", F.col("coordinate")))
+    strength = F.round(F.greatest("auroc", F.lit(1.0) - F.col("auroc")), 9)
+    got = evaluate.rank_metrics(test.withColumn("strength", strength).drop("auroc"), ["k", "coordinate", "strength", "sign"], score="s")
+    return rounded(got.select("k", "coordinate", "strength", "sign", "n", "positives", F.col("auroc").alias("test_auroc"), F.col("average_precision").alias("test_ap")), "test_auroc", "test_ap")
+
+
+@cat.add(f"""WITH {SCORED}, {THRESHOLD}, old AS (SELECT k, budget, min(score) AS threshold FROM (SELECT e.k, t.budget, e.score, count(*) OVER (PARTITION BY e.k, t.budget ORDER BY e.score) AS upto, count(*) OVER (PARTITION BY e.k, t.budget)::DOUBLE AS n FROM ev e JOIN thr t USING (k) WHERE label = 0) WHERE upto > ceil((1 - budget) * (n - 1)) GROUP BY ALL)
+SELECT e.k, n.budget, count(*) AS rows, round(max(abs(n.threshold - o.threshold)), 9) AS most, count(*) FILTER ((e.score > n.threshold) <> (e.score > o.threshold)) AS alarm_mismatches FROM thr n JOIN old o USING (k, budget) JOIN ev e ON e.k = n.k GROUP BY ALL""")
 def q_reproduction_check(spark, d):
-    """Published figures (rounded) against recomputed ones."""
-    now = evaluate.rank_metrics(scored(spark, d), ["k"])
-    old = now.select("k", F.round("auroc", 6).alias("x"))
-    return old.join(now, "k").groupBy("k").agg(F.round(F.max(F.abs(F.col("x") - F.col("auroc"))), 5).alias("most"), F.count(F.lit(1)).alias("n"))
+    """Alarms recomputed from sorted arrays of the negatives against those of the operator, joined by priority, day and budget."""
+    x = scored(spark, d)
+    alarms = lambda cut: x.join(cut, "k").select("k", "date", "budget", "threshold", (F.col("score") > F.col("threshold")).alias("alarm"))
+    sorted_ = x.filter("label = 0").groupBy("k").agg(F.sort_array(F.collect_list("score")).alias("s")).withColumn("budget", F.explode(F.array(*map(F.lit, BUDGETS))))
+    again = sorted_.select("k", "budget", F.get("s", F.ceil((F.lit(1.0) - F.col("budget")) * (F.size("s") - 1)).cast("int")).alias("threshold"))
+    return evaluate.reproduction(alarms(evaluate.alarm_threshold(x, ["k"], BUDGETS)), alarms(again), ["k", "date", "budget"], ["k", "budget"], "threshold", "alarm")
