@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,8 @@ def clip(c: Column | str, low: float | None = None, high: float | None = None) -
 def ratio(a: Column | str, b: Column | str) -> Column:
     """a / b, null where b is 0 or null."""
     return F.try_divide(col(a), F.nullif(col(b), F.lit(0.0)))
+
+
+def none_of(c: Column | str, values: Sequence) -> Column:
+    """Whether the value is none of a list; null is none of them."""
+    return F.coalesce(~col(c).isin(*values), F.lit(True))

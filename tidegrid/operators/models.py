@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..session import cut, spread
 from .evaluate import alarm_threshold, purged_splits
 
 PENALTIES = (0.01, 0.1, 1.0)
@@ -95,7 +96,7 @@ def fit_years(rows: DataFrame, splits: DataFrame, keys: Sequence[str], groups: M
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", year int, model string, c double, inner_ap double, tried array<double>, constant double, intercept double, weights array<double>"
     by = [*keys, "model"]
     years = splits.select(*keys, "year", "calibration_start", each.alias("model")).toDF(*keys, "year", "calibration_start", "model")
-    return rows.withColumn("model", each).groupBy(*by).cogroup(years.groupBy(*by)).applyInPandas(run, schema)
+    return spread(rows.withColumn("model", each), by).groupBy(*by).cogroup(spread(years, by).groupBy(*by)).applyInPandas(run, schema)
 
 
 def score_of(groups: Mapping[str, Sequence[str]]) -> Column:
@@ -117,12 +118,13 @@ def walk_forward(panel: DataFrame, keys: Sequence[str], groups: Mapping[str, Seq
     """Annual purged walk-forward scores: keys, year, model, c, inner_ap, constant_fallback, part (calibration, test), date, label, score.
 
     ``panel`` has date, label, label_end and the columns of all groups; rows with a null column, NaN or infinity are left out
-    for all groups alike. The models are those of ``fit_years``; rows are scored in the JVM.
+    for all groups alike. The models are those of ``fit_years``; rows are scored in the JVM. Rows, splits and fits are read
+    several times, so each is written once to the session's shared folder.
     """
-    rows = complete_rows(panel, keys, columns_of(groups))
-    splits = purged_splits(rows, keys, calibration=calibration, least=least, least_fit=least_fit)
+    rows = cut(complete_rows(panel, keys, columns_of(groups)))
+    splits = cut(purged_splits(rows, keys, calibration=calibration, least=least, least_fit=least_fit))
     fits = fit_years(rows, splits, keys, groups, penalties, penalty, history, classic)
-    scored = parts(rows, splits, keys).join(fits, [*keys, "year"])
+    scored = parts(rows, splits, keys).join(cut(fits), [*keys, "year"])
     return scored.select(*keys, "year", "model", "c", "inner_ap", F.col("constant").isNotNull().alias("constant_fallback"), "part", "date", F.col("label").cast("int").alias("label"), score_of(groups).alias("score"))
 
 

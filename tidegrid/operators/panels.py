@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.timeline import Series, log_return
+from ..session import spread
 from .calendars import sessions
 
 #: A task turns at least so many sessions into windows, and so many times the window; it reads window - 1 sessions more, a quarter of its own.
@@ -87,6 +88,44 @@ def member_coverage(calendar: DataFrame, status: DataFrame, entity: Sequence[str
     return calendar.join(n, [*entity, "session"], "left").fillna(0, ["expected_members", "mapped", "eligible", "missing_symbols", "excluded_incomplete_or_constant"])
 
 
+def member_sessions(members: DataFrame, marked: DataFrame, entity: Sequence[str], member: str, price: str) -> DataFrame:
+    """``members`` (entity, member, session, date) with ``priced`` and ``eligible``, whether the panel has a price and a complete window there."""
+    state = marked.select(*entity, member, "session", F.col(price).isNotNull().alias("__p"), F.col("complete").alias("__c"))
+    x = members.join(state, [*entity, member, "session"], "left")
+    return x.select(*members.columns, F.coalesce("__p", F.lit(False)).alias("priced"), F.coalesce("__c", F.lit(False)).alias("eligible"))
+
+
+def asset_coverage(sessions_of: DataFrame, listed: DataFrame, daily: DataFrame, calendar: DataFrame, entity: Sequence[str], member: str) -> DataFrame:
+    """Every member and every listed symbol of each entity, once, with one of five statuses.
+
+    ``sessions_of`` is ``member_sessions``, ``listed`` has the symbols with price rows, ``daily`` their valid prices, ``calendar`` the
+    sessions. The status is the first that holds: used (any eligible session), no dated membership match, missing price
+    symbol, no valid prices during membership, no complete valid window.
+    """
+    keys = [*entity, member]
+    own = sessions_of.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("membership_sessions"), F.min("date").alias("first_membership"), F.max("date").alias("last_membership"),
+        F.count_if("priced").alias("valid_prices_during_membership"), F.count_if("eligible").alias("eligible_sessions"), F.max("session").alias("__last"),
+    )
+    valid = daily.groupBy(*keys).agg(F.min("date").alias("first_valid"), F.max("date").alias("last_valid"))
+    ends = calendar.groupBy(*entity).agg(F.max("session").alias("__end"))
+    x = own.join(listed.select(*keys, F.lit(True).alias("supplied")), keys, "full").join(valid, keys, "left").join(ends, list(entity), "left")
+    status = F.when(F.col("eligible_sessions") > 0, "used").when(F.col("membership_sessions").isNull(), "no dated membership match").when(F.col("supplied").isNull(), "missing price symbol")
+    status = status.when(F.col("valid_prices_during_membership") == 0, "no valid prices during membership").otherwise("no complete valid window")
+    numbers = ("membership_sessions", "valid_prices_during_membership", "eligible_sessions")
+    return x.withColumn("status", status).select(
+        *keys, F.coalesce("supplied", F.lit(False)).alias("supplied"), *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers), "first_membership", "last_membership", "first_valid", "last_valid",
+        F.coalesce(F.col("__last") == F.col("__end"), F.lit(False)).alias("member_at_end"), "status",
+    )
+
+
+def survivorship(sessions_of: DataFrame, assets: DataFrame, calendar: DataFrame, entity: Sequence[str], member: str) -> DataFrame:
+    """Every session of ``calendar`` with expected, matched, eligible members and the eligible ones that are no members at the end."""
+    x = sessions_of.join(assets.select(*entity, member, "supplied", "member_at_end"), [*entity, member], "left")
+    n = x.groupBy(*entity, "session").agg(F.count(F.lit(1)).alias("expected_members"), F.count_if("supplied").alias("matched_members"), F.count_if("eligible").alias("eligible_members"), F.count_if(F.col("eligible") & ~F.col("member_at_end")).alias("eligible_former_members"))
+    return calendar.join(n, [*entity, "session"], "left").fillna(0, ["expected_members", "matched_members", "eligible_members", "eligible_former_members"])
+
+
 def window_chunks(panel: DataFrame, entity: Sequence[str], k: int, chunk: int) -> DataFrame:
     """Each row once for every chunk of sessions whose windows of k rows hold it: with ``chunk`` numbered from 0.
 
@@ -135,7 +174,7 @@ def rolling_blocks(panel: DataFrame, entity: Sequence[str], member: str, kernel:
     full = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", " + schema
     names = [part.strip().split(" ")[0].strip("`") for part in _split_schema(full)]
     rows = panel.filter(F.col(value).isNotNull()).select(*entity, member, "session", "date", value, *([active] if active else []))
-    return window_chunks(rows, entity, k, chunk).groupBy(*keys).applyInPandas(run, full)
+    return spread(window_chunks(rows, entity, k, chunk), keys).groupBy(*keys).applyInPandas(run, full)
 
 
 def _split_schema(schema: str) -> list[str]:
@@ -200,7 +239,7 @@ def topology_grid(panel: DataFrame, entity: Sequence[str], member: str, variants
     full = ", ".join(f"{c} {kinds[c]}" for c in entity) + ", variant string, " + _summary_schema(extras)
     names = [part.strip().split(" ")[0] for part in _split_schema(full)]
     rows = panel.filter(F.coalesce(*values).isNotNull()).select(*entity, member, "session", "date", *values, *([active] if active else []))
-    return window_chunks(rows, entity, longest, chunk).groupBy(*entity, "chunk").applyInPandas(run, full)
+    return spread(window_chunks(rows, entity, longest, chunk), [*entity, "chunk"]).groupBy(*entity, "chunk").applyInPandas(run, full)
 
 
 def diagram_velocity(topology: DataFrame, entity: Sequence[str]) -> DataFrame:

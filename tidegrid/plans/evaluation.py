@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeline as t
 from ..operators import calendars, evaluate, models
+from ..session import cut
 from .bases import DAY, REV, SCORED, Catalogue, scored, text_date
 
 cat = Catalogue()
@@ -236,11 +237,10 @@ SOURCE = "1-URGENT"
 @cat.add()
 def q_frozen_transfer(spark, d):
     """Each year's models and 5 % thresholds of one priority applied unchanged to the others, with alarm metrics."""
-    x = features(spark, d)
-    rows = models.complete_rows(x, ["k"], models.columns_of(GROUPS))
+    rows = cut(models.complete_rows(features(spark, d), ["k"], models.columns_of(GROUPS)))
     home = rows.filter(F.col("k") == SOURCE)
-    splits = evaluate.purged_splits(home, ["k"])
-    fits = models.fit_years(home, splits, ["k"], GROUPS)
+    splits = cut(evaluate.purged_splits(home, ["k"]))
+    fits = cut(models.fit_years(home, splits, ["k"], GROUPS))
     held = models.parts(home, splits, ["k"]).filter("part = 'calibration'").join(fits, ["k", "year"]).withColumn("score", models.score_of(GROUPS))
     thresholds = evaluate.alarm_threshold(held, ["year", "model"], (0.05,))
     away = models.transfer(fits, thresholds, rows.filter(F.col("k") != SOURCE).select("k", "date", "label", *models.columns_of(GROUPS)), GROUPS)

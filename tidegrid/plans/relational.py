@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.symbols import canonical_symbol
-from ..functions.values import capped_magnitude, clip, finite, positive, ratio
-from ..operators import calendars, rolling, snapshots
+from ..functions.values import capped_magnitude, clip, finite, none_of, positive, ratio
+from ..operators import calendars, evaluate, rolling, snapshots
 from ..operators.packed import split_packed
 from ..sources import contracts
 from ..sources.tables import table
@@ -133,12 +133,46 @@ def q_intersect_dates(spark, d):
     return vix_daily(spark, d).select("feed", "date").intersect(spy(spark, d).select("feed", "date")).select("feed", text_date())
 
 
-@cat.add("SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS q, round(max(o_totalprice), 2) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+@cat.add(f"WITH {SCORED} SELECT a.k, strftime(a.date, '%Y-%m-%d') AS date, a.budget, a.alarm AS alarm_score, b.alarm AS alarm_price FROM (SELECT k, date, b AS budget, score > b AS alarm FROM ev, (SELECT unnest([0.01::DOUBLE, 0.05]) AS b)) a JOIN (SELECT k, date, b AS budget, p < lag(p) OVER (PARTITION BY k, b ORDER BY date) * (1 - b / 10) AS alarm FROM ev, (SELECT unnest([0.01::DOUBLE, 0.05]) AS b)) b USING (k, date, budget)")
 def q_composite_join(spark, d):
+    """Alarms of two rules side by side, joined by priority, day and budget; the column that both have gets suffixes."""
+    each = scored(spark, d).withColumn("budget", F.explode(F.array(F.lit(0.01), F.lit(0.05))))
+    a = each.select("k", "date", "budget", (F.col("score") > F.col("budget")).alias("alarm"))
+    before = F.lag("p").over(Window.partitionBy("k", "budget").orderBy("date"))
+    b = each.select("k", "date", "budget", (F.col("p") < before * (1 - F.col("budget") / 10)).alias("alarm"))
+    return evaluate.joined(a, b, ["k", "date", "budget"], ("_score", "_price")).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@cat.add("SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS q, round(max(o_totalprice), 2) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+def q_order_lines(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
     return table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"), F.round(F.max("o_totalprice"), 2).alias("p"))
 
 
+EXCLUDED = ("QORVEX", "ZKOAT-A", "YTMKA")
+
+
+@cat.add(f"SELECT basket, count(*) AS n, count(symbol) AS named FROM prices WHERE symbol IS NULL OR symbol NOT IN {EXCLUDED} GROUP BY basket")
+def q_not_in(spark, d):
+    """Rows whose symbol is none of a list; a null symbol is none of them and stays."""
+    rows = table(spark, d, "prices").select("basket", "symbol").filter(none_of("symbol", EXCLUDED))
+    return rows.groupBy("basket").agg(F.count(F.lit(1)).alias("n"), F.count("symbol").alias("named"))
+
+
+WEIGHTS = {"view": 1, "click": 2, "cart": 5, "purchase": 20}
+
+
+@cat.add(f"SELECT user_id, count(*) AS n, sum(MAP {{'view': 1, 'click': 2, 'cart': 5, 'purchase': 20}}[event_type])::BIGINT AS weight FROM events GROUP BY user_id")
+def q_literal_map(spark, d):
+    """Values looked up in a literal map; what it lacks is null and counts for nothing."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(scalars.mapped("event_type", WEIGHTS)).alias("weight"))
+
+
+@cat.add("SELECT p_partkey, 'https://example.org/part?name=' || url_encode(p_name) || '&brand=' || url_encode(p_brand) AS url FROM part")
+def q_url_encode(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("https://example.org/part?name="), scalars.quote("p_name"), F.lit("&brand="), scalars.quote("p_brand")).alias("url"))
+
+
 @cat.add("SELECT r_name, n_name, count(c_custkey) AS customers, count(DISTINCT c_mktsegment) AS segments FROM nation LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def q_lookup_join(spark, d):
     """A fact with two lookups: Spark broadcasts them by their size."""
@@ -276,7 +310,7 @@ def q_hash_cast(spark, d):
     return table(spark, d, "part").select("p_partkey", F.sha2("p_name", 256).alias("hash"), F.regexp_replace("p_brand", "[^0-9]", "").try_cast("int").alias("number"), scalars.escape_html("p_name").alias("escaped"))
 
 
-@cat.add()
+@cat.add("""SELECT event_id, round(0.5 + z / sqrt(2 * pi()) * list_sum(list_transform(range(90), lambda k: (-1.0::DOUBLE) ** k * (z * z / 2) ** k / (gamma(k + 1.0) * (2 * k + 1)))), 9) AS cdf, CASE WHEN props IS NOT NULL THEN true END AS same FROM (SELECT *, (value - 250) / 100 AS z FROM events)""")
 def q_normal_cdf(spark, d):
     """The normal distribution function of standardised event values, and a round trip through compression."""
     e = table(spark, d, "events").withColumn("z", (F.col("value") - 250) / 100)

@@ -9,8 +9,9 @@ from ..functions import timeline as t
 from ..functions.symbols import canonical_symbol
 from ..functions.values import capped_magnitude
 from ..operators import asof, calendars, evaluate, models, panels, rolling
+from ..sources import contracts
 from ..sources.tables import table
-from .bases import BASKET, DAY, FEED, MEMBERS, PANEL, SCORED, SPY, VIX, Catalogue, basket_members, daily_prices, price_panel, scored, spy, text_date, vix_daily
+from .bases import BASKET, DAY, FEED, MEMBERS, PANEL, SCORED, SPY, VIX, Catalogue, basket_members, daily_prices, member_panel, price_panel, scored, spy, text_date, vix_daily
 from .evaluation import GROUPS, features, rank_sql, rounded
 from .problems import _PRICE
 from .series import COMPLETE
@@ -71,7 +72,7 @@ def q_member_coverage(spark, d):
     return panels.member_coverage(calendar, member_status(spark, d), BASKET).drop("session").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
-@cat.add()
+@cat.add(f"""WITH {PANEL}{COMPLETE}, {MEMBERS} SELECT k.basket, k.symbol, count(m.symbol) AS member, count(*) FILTER (m.symbol IS NULL) AS former FROM marked k SEMI JOIN px USING (basket, symbol, date) LEFT JOIN members m ON m.basket = k.basket AND m.symbol = k.symbol AND m.session = k.session WHERE k.complete GROUP BY k.basket, k.symbol""")
 def q_member_windows(spark, d):
     """Sessions on which a priced symbol with a complete window was a member as known that day, and on which it was not."""
     marked = panels.complete_windows(price_panel(spark, d), BASKET, "symbol").filter("complete").select("basket", "symbol", "date")
@@ -80,13 +81,54 @@ def q_member_windows(spark, d):
     return x.groupBy("basket", "symbol").agg(F.count("present").alias("member"), F.count_if(F.col("present").isNull()).alias("former"))
 
 
-@cat.add(f"""WITH {_PRICE}, ref AS (SELECT basket, symbol, min(date) AS date FROM last_px GROUP BY ALL) SELECT r.basket, r.symbol, strftime(r.date, '%Y-%m-%d') AS date, CASE WHEN v.p IS NULL THEN 'not_available' WHEN abs(v.p - round(v.p, 1)) > 0.02 THEN 'mismatch' ELSE 'match' END AS status FROM ref r LEFT JOIN valid v USING (basket, symbol, date)""")
+ASSETS = f"""{PANEL}{COMPLETE}, {MEMBERS}, mk AS (SELECT m.*, k.p, coalesce(k.complete, false) AS ok FROM members m LEFT JOIN marked k USING (basket, symbol, session)),
+own AS (SELECT basket, symbol, count(*) AS membership_sessions, min(date) AS fm, max(date) AS lm, count(p) AS overlap, count(*) FILTER (ok) AS eligible_sessions, max(session) AS ls FROM mk GROUP BY ALL),
+ends AS (SELECT basket, max(session) AS z FROM cal GROUP BY basket), vp AS (SELECT basket, symbol, min(date) AS fv, max(date) AS lv FROM valid WHERE basket IS NOT NULL GROUP BY ALL)"""
+
+
+@cat.add(f"""WITH {ASSETS} SELECT basket, symbol, l.symbol IS NOT NULL AS supplied, coalesce(membership_sessions, 0) AS membership_sessions, strftime(fm, '%Y-%m-%d') AS first_membership, strftime(lm, '%Y-%m-%d') AS last_membership, coalesce(overlap, 0) AS valid_prices_during_membership, coalesce(eligible_sessions, 0) AS eligible_sessions,
+strftime(fv, '%Y-%m-%d') AS first_valid, strftime(lv, '%Y-%m-%d') AS last_valid, coalesce(ls = z, false) AS member_at_end, CASE WHEN eligible_sessions > 0 THEN 'used' WHEN membership_sessions IS NULL THEN 'no dated membership match' WHEN l.symbol IS NULL THEN 'missing price symbol' WHEN overlap = 0 THEN 'no valid prices during membership' ELSE 'no complete valid window' END AS status
+FROM own FULL JOIN listed l USING (basket, symbol) LEFT JOIN vp USING (basket, symbol) LEFT JOIN ends USING (basket)""")
+def q_asset_coverage(spark, d):
+    """Every member and every priced symbol of each basket with its membership, prices, eligible sessions and one of five statuses."""
+    x = asset_coverage(spark, d)
+    return x.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_membership", "last_membership", "first_valid", "last_valid")})
+
+
+def member_sessions(spark, d):
+    return panels.member_sessions(basket_members(spark, d), panels.complete_windows(price_panel(spark, d), BASKET, "symbol"), BASKET, "symbol", "p")
+
+
+def asset_coverage(spark, d):
+    listed = rolling.last_daily(table(spark, d, "prices")).select("basket", "symbol").distinct()
+    daily = daily_prices(spark, d)
+    return panels.asset_coverage(member_sessions(spark, d), listed, daily, calendars.sessions(daily, BASKET), BASKET, "symbol")
+
+
+@cat.add(f"""WITH {ASSETS} SELECT c.basket, strftime(c.date, '%Y-%m-%d') AS date, count(m.symbol) AS expected_members, count(l.symbol) AS matched_members, count(*) FILTER (m.ok) AS eligible_members, count(*) FILTER (m.ok AND o.ls < e.z) AS eligible_former_members
+FROM cal c LEFT JOIN mk m ON m.basket = c.basket AND m.session = c.session LEFT JOIN listed l ON l.basket = m.basket AND l.symbol = m.symbol LEFT JOIN own o ON o.basket = m.basket AND o.symbol = m.symbol LEFT JOIN ends e ON e.basket = c.basket GROUP BY c.basket, c.date""")
+def q_survivorship_daily(spark, d):
+    """Members of each session that are expected, have prices and are eligible, and the eligible ones that have left by the end."""
+    calendar = calendars.sessions(daily_prices(spark, d), BASKET)
+    x = panels.survivorship(member_sessions(spark, d), asset_coverage(spark, d), calendar, BASKET, "symbol")
+    return x.drop("session").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@cat.add(f"""WITH {PANEL}, {MEMBERS} SELECT p.basket, p.symbol, strftime(p.date, '%Y-%m-%d') AS date, round(p.r, 9) AS log_return, m.symbol IS NOT NULL AS member FROM panel p LEFT JOIN members m ON m.basket = p.basket AND m.symbol = p.symbol AND m.session = p.session WHERE abs(p.r) > 0.5""")
+def q_extreme_returns(spark, d):
+    """Returns beyond 0.5 with whether the symbol was a member on that day."""
+    x = member_panel(spark, d).filter("abs(r) > 0.5")
+    return x.select("basket", "symbol", text_date(), F.round("r", 9).alias("log_return"), F.col("member_now").alias("member"))
+
+
+@cat.add(f"""WITH {_PRICE}, ref AS (SELECT basket, symbol, date, arg_min(p, (received_at, p)) AS reference FROM px WHERE basket IS NOT NULL AND p IS NOT NULL AND received_at IS NOT NULL GROUP BY ALL),
+st AS (SELECT r.basket, CASE WHEN v.p IS NULL THEN 'not_available' WHEN NOT abs(v.p - reference) <= 0.02 THEN 'mismatch' ELSE 'match' END AS status FROM ref r LEFT JOIN valid v USING (basket, symbol, date)) SELECT basket, status, count(*) AS n FROM st GROUP BY ALL""")
 def q_spot_check(spark, d):
-    """One reference price of each series against the data: match within 0.02, mismatch or not available."""
-    last = rolling.last_daily(table(spark, d, "prices"))
-    x = last.groupBy("basket", "symbol").agg(F.min("date").alias("date")).join(rolling.valid_daily(table(spark, d, "prices")), ["basket", "symbol", "date"], "left")
-    status = F.when(F.col("value").isNull(), "not_available").when(F.abs(F.col("value") - F.round("value", 1)) > 0.02, "mismatch").otherwise("match")
-    return x.select("basket", "symbol", text_date(), status.alias("status"))
+    """The first price delivered for each key against the one that holds: match within 0.02, mismatch or not available, counted by basket."""
+    p = table(spark, d, "prices").select("basket", canonical_symbol("symbol").alias("symbol"), "date", "adjusted_close", "received_at").dropna(subset=["basket", "symbol", "date", "received_at"]).filter("adjusted_close is not null")
+    first = p.groupBy("basket", "symbol", "date").agg(F.min_by("adjusted_close", F.struct("received_at", "adjusted_close")).alias("reference"))
+    x = contracts.against_reference(daily_prices(spark, d), first, ["basket", "symbol", "date"], "p", "reference")
+    return x.groupBy("basket", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @cat.add(f"WITH {PANEL}, m AS (SELECT *, CASE WHEN abs(r) <= 0.1 THEN r END AS q FROM panel) SELECT basket, symbol, count(r) AS returns, count(q) AS kept, round(stddev_samp(r), 9) AS plain, round(stddev_samp(q), 9) AS masked FROM m GROUP BY ALL")
@@ -96,17 +138,18 @@ def q_mask_sensitivity(spark, d):
     return rounded(x.groupBy("basket", "symbol").agg(F.count("r").alias("returns"), F.count("q").alias("kept"), F.stddev_samp("r").alias("plain"), F.stddev_samp("q").alias("masked")), "plain", "masked")
 
 
-SCALES = (0.8, 0.9, 1.0, 1.1)
+SCALES = (20, 40, 60, 120, 180, 250)
 
 
-@cat.add(f"""WITH {SCORED}, sc AS (SELECT k, year(date) AS year, label, unnest([0.8::DOUBLE, 0.9, 1.0, 1.1]) AS scale, unnest([round(score ** 0.8, 6), round(score ** 0.9, 6), score, round(-score, 6)]) AS score FROM ev),
-{rank_sql('sc', 'k, year, scale')} SELECT k, year::INT AS year, scale, round(average_precision, 9) AS average_precision FROM rm QUALIFY row_number() OVER (PARTITION BY k, year ORDER BY coalesce(round(average_precision, 9), -1) DESC, scale) = 1""")
+@cat.add(f"""WITH {SCORED}, dd AS (SELECT k, date, label, {', '.join(f"CASE WHEN count(p) OVER w{n} = {n} THEN round(-(p / max(p) OVER w{n} - 1), 6) END AS s{n}" for n in SCALES)} FROM ev WINDOW {', '.join(f"w{n} AS (PARTITION BY k ORDER BY date ROWS {n - 1} PRECEDING)" for n in SCALES)}),
+sc AS (SELECT k, year(date) AS year, label, unnest({list(SCALES)}) AS scale, unnest([{', '.join(f's{n}' for n in SCALES)}]) AS score FROM dd WHERE s250 IS NOT NULL),
+{rank_sql('sc', 'k, year, scale')} SELECT k, year::INT AS year, scale::INT AS scale, round(average_precision, 9) AS average_precision FROM rm QUALIFY row_number() OVER (PARTITION BY k, year ORDER BY coalesce(round(average_precision, 9), -1) DESC, scale) = 1""")
 def q_scale_choice(spark, d):
-    """The best of several candidate scales in each year, the first of equals."""
-    s = F.col("score")
-    forms = [F.round(F.pow(s, F.lit(0.8)), 6), F.round(F.pow(s, F.lit(0.9)), 6), s, F.round(-s, 6)]
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("scale"), c.alias("s")) for k, c in zip(SCALES, forms))))
-    x = scored(spark, d).select("k", F.year("date").alias("year"), "label", each.alias("c")).select("k", "year", "label", "c.scale", "c.s")
+    """The drawdown window that ranks each year's labels best, the first of equals."""
+    x = scored(spark, d)
+    x = x.withColumns({f"s{n}": F.round(-t.drawdown(t.Series(["k"]), "p", n), 6) for n in SCALES}).filter("s250 is not null")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("scale"), F.col(f"s{n}").alias("s")) for n in SCALES)))
+    x = x.select("k", F.year("date").alias("year"), "label", each.alias("c")).select("k", "year", "label", "c.scale", "c.s")
     ranked = rounded(evaluate.rank_metrics(x, ["k", "year", "scale"], score="s"), "average_precision")  # equal but for rounding is equal
     return evaluate.first_best(ranked, ["k", "year"], "average_precision", "scale").select("k", "year", "scale", "average_precision")
 

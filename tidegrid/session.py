@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` by ``keys`` in a number of partitions that work, not bytes, asks for: groups that cost much time are small in bytes, and few large partitions would leave cores idle."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)

@@ -55,3 +55,10 @@ def membership_contract(snapshots: DataFrame, array: str, entity: Sequence[str],
     """rule, rows: null arrays, repeated names within a snapshot, and (entity, date) given several times."""
     own = violations(snapshots, {"null": F.col(array).isNotNull(), "repeated name": F.size(F.array_distinct(array)) == F.size(array)})
     return own.unionByName(duplicate_keys(snapshots, [*entity, date]).agg(F.lit("repeated snapshot").alias("rule"), F.count(F.lit(1)).alias("rows")).select("rule", "rows"))
+
+
+def against_reference(found: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, expected: str, most: float = 0.02) -> DataFrame:
+    """Every row of ``reference`` with ``status``: not_available where ``found`` has no value, mismatch beyond ``most``, else match."""
+    x = reference.join(found.select(*keys, value), list(keys), "left")
+    off = ~(F.abs(F.col(value) - F.col(expected)) <= most)
+    return x.withColumn("status", F.when(F.col(value).isNull(), "not_available").when(F.coalesce(off, F.lit(True)) | F.isnan(expected), "mismatch").otherwise("match"))
