@@ -131,3 +131,66 @@ def test_no_local_folder_on_a_cluster():
     for master in ("spark://host:1", "yarn", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError):
             checkpoint_folder(session(master))
+
+
+def test_pages_of_a_key(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tidegrid.sources import http
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            _, key, page = self.path.split("/")
+            broken = key == "B" and page == "2"
+            self.send_response(500 if broken else 200)
+            self.end_headers()
+            if not broken:
+                self.wfile.write(json.dumps({"rows": [key + page], "meta": {"next": int(page) + 1 if int(page) < 3 else None}}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        df = http.read_json_http(spark, f"http://127.0.0.1:{server.server_port}/{{key}}/{{page}}", ["A", "B"], wait=0.01, next="meta.next").cache()
+        pages = [(r["key"], r["page"], r["status"]) for r in df.orderBy("key", "page").collect()]
+        audit = rows(http.audit(df).select("key", "pages", "status", "whole"))
+    finally:
+        server.shutdown()
+    assert pages == [("A", 1, 200), ("A", 2, 200), ("A", 3, 200), ("B", 1, 200), ("B", 2, 500)]
+    assert audit == [("A", 3, 200, True), ("B", 2, 500, False)]
+    assert http.next_page("nonsense", "a") is None and http.next_page('{"a": ""}', "a") is None
+
+
+def test_replace_puts_a_table_back(spark, tmp_path):
+    path = tmp_path / "t"
+    sinks.replace(spark.range(3), str(path))
+    sinks.replace(spark.range(5), str(path))
+    assert spark.read.parquet(str(path)).count() == 5 and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+    path.rename(tmp_path / "t.old")  # broken off between the renames
+    with pytest.raises(Exception):
+        sinks.replace(spark.range(2).selectExpr("raise_error('no') as x"), str(path))
+    assert spark.read.parquet(str(path)).count() == 5
+
+
+def test_models_and_release(spark, tmp_path):
+    fits = spark.createDataFrame([("a", 2020, "m", 0.5, [1.0, 2.0])], "k string, year int, model string, intercept double, weights array<double>")
+    sinks.save_models(fits, {"m": ["f", "g"]}, str(tmp_path / "models"))
+    again, groups = sinks.load_models(spark, str(tmp_path / "models"))
+    assert rows(again) == rows(fits) and groups == {"m": ["f", "g"]}
+    sinks.publish({"t": spark.range(4)}, str(tmp_path / "out"))
+    held = sinks.release_manifest(spark, str(tmp_path / "out"), version="1")
+    assert held["tables"] == {"t": 4} and held["version"] == "1" and all(len(f["sha256"]) == 64 for f in held["files"]) and any(f["path"].startswith("t/") for f in held["files"])
+
+
+def test_registry_leaves_out_what_it_names():
+    from tidegrid.operators import features
+
+    groups = features.registry(["vix"], ["h1_max", "n_assets", "average_correlation"], ["h1_max_z60"], ["betti_000"], ["momentum_5", "eligible_assets"])
+    assert groups == {
+        "base": ["vix"], "compact": ["h1_max"], "combined": ["vix", "h1_max"], "dynamic_combined": ["vix", "h1_max", "h1_max_z60"], "full": ["betti_000", "h1_max"],
+        "enhanced_base": ["vix", "momentum_5"], "enhanced_combined": ["vix", "momentum_5", "h1_max"],
+    }

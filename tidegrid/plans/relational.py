@@ -50,6 +50,15 @@ def q_contract_markets(spark, d):
     return contracts.violations(m, {"dates": F.col("date").between("2000-01-01", "2024-12-31"), "SPY": F.col("SPY") > 0})
 
 
+@cat.add("""SELECT 'vix null' AS rule, count(*) FILTER ("CLOSE" IS NULL OR "DATE" IS NULL) AS rows FROM vix UNION ALL SELECT 'vix repeated', count(*) FROM (SELECT feed, "DATE" FROM vix WHERE "DATE" IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'vix late', count(*) FILTER (NOT coalesce(f <= DATE '2010-01-01', false)) FROM (SELECT min("DATE") AS f FROM vix GROUP BY feed) UNION ALL SELECT 'spread null', count(*) FILTER (T10Y2Y IS NULL OR date IS NULL) FROM yield_curve
+UNION ALL SELECT 'spread repeated', count(*) FROM (SELECT date FROM yield_curve WHERE date IS NOT NULL GROUP BY date HAVING count(*) > 1) UNION ALL SELECT 'spread late', (NOT coalesce(min(date) <= DATE '2010-01-01', false))::BIGINT FROM yield_curve""")
+def q_contract_series(spark, d):
+    """Nulls, repeated dates and late starts of the volatility readings and the term spread."""
+    v = contracts.series_contract(table(spark, d, "vix"), ["feed"], "DATE", "CLOSE", "2010-01-01", "vix")
+    return v.unionByName(contracts.series_contract(table(spark, d, "yield_curve"), [], "date", "T10Y2Y", "2010-01-01", "spread"))
+
+
 @cat.add(f"""WITH {_PRICE} SELECT 'rows' AS what, count(*) AS n FROM prices UNION ALL SELECT 'symbols', count(DISTINCT symbol) FROM px UNION ALL SELECT 'invalid', count(*) FILTER (p IS NOT NULL AND NOT coalesce(p > 0 AND isfinite(p), false)) FROM px UNION ALL SELECT 'valid days', count(*) FROM valid""")
 def q_input_audit(spark, d):
     """Counts of the input audit, in long form."""

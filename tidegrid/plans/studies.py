@@ -9,12 +9,14 @@ from ..functions import timeline as t
 from ..functions.symbols import canonical_symbol
 from ..functions.values import capped_magnitude
 from ..operators import asof, calendars, evaluate, models, panels, rolling
+from ..operators.features import assemble, dynamics, enhanced, registry, with_coverage
 from ..sources import contracts
 from ..sources.tables import table
 from .bases import BASKET, DAY, FEED, MEMBERS, PANEL, SCORED, SPY, VIX, Catalogue, basket_members, daily_prices, member_panel, price_panel, scored, spy, text_date, vix_daily
 from .evaluation import GROUPS, features, rank_sql, rounded
 from .problems import _PRICE
 from .series import COMPLETE
+from .topology import WINDOWS
 
 cat = Catalogue()
 
@@ -189,3 +191,59 @@ def q_result_view(spark, d):
 def q_symbol_enumeration(spark, d):
     """Every symbol with the baskets that list it."""
     return table(spark, d, "prices").filter("symbol is not null").groupBy(canonical_symbol("symbol").alias("symbol")).agg(F.count_distinct("basket").alias("baskets"), F.count(F.lit(1)).alias("rows"))
+
+
+@cat.add(f"""WITH {SPY}, {VIX}, {ASSETS}, cv AS (SELECT date, count(*) AS expected, count(*) FILTER (ok) AS eligible FROM mk GROUP BY date), a AS (SELECT s.feed, s.date, s.p, ln(s.p) - lag(ln(s.p)) OVER w AS r, lag(v.v) OVER w AS vix FROM spy s LEFT JOIN vixd v USING (feed, date) WINDOW w AS (PARTITION BY s.feed ORDER BY s.date))
+SELECT feed, strftime(a.date, '%Y-%m-%d') AS date, {', '.join(f'round(ln(p / lag(p, {n}) OVER w), 8) AS momentum_{n}' for n in (5, 20, 60))}, {', '.join(f'CASE WHEN count(p) OVER w{n} = {n} THEN round(p / max(p) OVER w{n} - 1, 8) END AS drawdown_{n}' for n in (60, 252))},
+CASE WHEN count(r) OVER w20 = 20 THEN round(stddev_samp(CASE WHEN r IS NOT NULL THEN least(r, 0) END) OVER w20 * sqrt(252), 8) END AS downside_vol20, round(vix - lag(vix, 5) OVER w, 8) AS vix_change5, CASE WHEN count(vix) OVER w60 = 60 THEN round(vix / avg(vix) OVER w60, 8) END AS vix_ratio60,
+cv.eligible AS eligible_assets, round(cv.eligible / cv.expected, 8) AS eligible_fraction FROM a LEFT JOIN cv USING (date) WINDOW w AS (PARTITION BY feed ORDER BY date), w20 AS (w ROWS 19 PRECEDING), w60 AS (w ROWS 59 PRECEDING), w252 AS (w ROWS 251 PRECEDING)""")
+def q_enhanced_features(spark, d):
+    """Recent stress of each feed with the eligible members of all baskets on the day."""
+    x = market_base(spark, d)
+    names = enhanced(["feed"])
+    cover = member_sessions(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("expected"), F.count_if("eligible").alias("eligible"))
+    x = with_coverage(x.withColumns(names), cover)
+    return rounded(x.select("feed", text_date(), *names, "eligible_assets", "eligible_fraction"), *names, "eligible_fraction", digits=8)
+
+
+def market_base(spark, d):
+    """feed, date, p, r and the volatility of the row before."""
+    x = calendars.align(spy(spark, d), vix_daily(spark, d), ["feed", "date"])
+    return x.withColumns({"r": t.log_return(FEED, "p"), "vix": t.shifted(FEED, "v", 1)})
+
+
+@cat.add(f"""WITH {PANEL}, {WINDOWS}, {MEMBERS}, c AS (SELECT p.basket, p.session::INT AS session, avg(rho) AS x FROM pairs p JOIN members a ON a.basket = p.basket AND a.session = p.session AND a.symbol = p.i JOIN members b ON b.basket = p.basket AND b.session = p.session AND b.symbol = p.j GROUP BY p.basket, p.session HAVING count(*) >= 3)
+SELECT basket, session, round(x - lag(x, 5) OVER w, 8) AS average_change5, CASE WHEN count(x) OVER b >= 40 THEN round(greatest(-10, least(10, (x - avg(x) OVER b) / nullif(stddev_samp(x) OVER b, 0))), 6) END AS average_z60 FROM c WINDOW w AS (PARTITION BY basket ORDER BY session), b AS (PARTITION BY basket ORDER BY session ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
+def q_dynamics(spark, d):
+    """Change and causal z of the average correlation of each basket's windows."""
+    x = panels.correlation_pairs(member_panel(spark, d), BASKET, "symbol", active="member_now").select("basket", "session", "average")
+    y = x.withColumns(dynamics(BASKET, ["average"]))
+    return y.select("basket", "session", F.round("average_change5", 8).alias("average_change5"), F.round("average_z60", 6).alias("average_z60"))
+
+
+DYNAMIC = ("h1_entropy_normalized", "h1_total_per_asset", "h1_integrated_l2_per_asset", "w2_per_sqrt_asset")
+
+
+@cat.add()
+def q_model_panel(spark, d):
+    """Base, compact, dynamic, curve and stress features of each basket on the dates of the feed that stands beside it, with the forward label.
+
+    Baskets and feeds are paired by their ranks; rows without all features are left out, and columns that follow the calendar are
+    in no group. Of the 200 coordinates of the curve every eighth is shown.
+    """
+    order = lambda c: F.dense_rank().over(Window.partitionBy().orderBy(c))  # noqa: E731  a list of names, small
+    feeds = spy(spark, d).select("feed").distinct().withColumn("n", order("feed"))
+    many = max(1, feeds.count())
+    baskets = table(spark, d, "membership").select("basket").distinct().filter("basket is not null").withColumn("n", order("basket"))
+    pairs = baskets.select("basket", (F.pmod(F.col("n") - 1, F.lit(many)) + 1).alias("n")).join(feeds, "n").select("basket", "feed")
+    base = market_base(spark, d)
+    stress = enhanced(["feed"])
+    base = base.withColumns({**stress, "vol20": t.annual_volatility(FEED, "r"), "label": t.forward_loss(FEED, "p", 0.05, 20), "label_end": t.label_end(FEED, 20)})
+    top = panels.diagram_velocity(panels.topology_features(member_panel(spark, d), BASKET, "symbol", active="member_now", extras=("betti1",)), BASKET)
+    moving = dynamics(BASKET, DYNAMIC)
+    curve = {f"betti_{j:03}": F.get("betti1", F.lit(j)) / F.col("n_assets") for j in range(0, 200, 8)}
+    top = top.withColumns({**moving, **curve}).drop("bars", "betti1", "session")
+    groups = registry(["vix", "vol20", "eigenvalue_ratio"], [*panels.FEATURES, "n_assets", "w2_per_sqrt_asset"], list(moving), list(curve), [*stress, "eligible_assets", "eligible_fraction"])
+    x = assemble([base.join(pairs, "feed"), top], ["basket", "date"], groups, keep=["feed", "label"])
+    columns = sorted({c for cs in groups.values() for c in cs})
+    return x.select("basket", text_date(), "feed", "label", *(F.round(c, 7).alias(c) for c in columns))

@@ -62,3 +62,11 @@ def against_reference(found: DataFrame, reference: DataFrame, keys: Sequence[str
     x = reference.join(found.select(*keys, value), list(keys), "left")
     off = ~(F.abs(F.col(value) - F.col(expected)) <= most)
     return x.withColumn("status", F.when(F.col(value).isNull(), "not_available").when(F.coalesce(off, F.lit(True)) | F.isnan(expected), "mismatch").otherwise("match"))
+
+
+def series_contract(df: DataFrame, keys: Sequence[str], date: str, value: str, start: str, name: str) -> DataFrame:
+    """rule, rows of a series table: values that are not finite and above 0 are not asked for here, only nulls; repeated dates of a key; keys that begin after ``start``."""
+    own = violations(df, {f"{name} null": F.col(value).isNotNull() & F.col(date).isNotNull()})
+    twice = duplicate_keys(df.filter(F.col(date).isNotNull()), [*keys, date]).agg(F.lit(f"{name} repeated").alias("rule"), F.count(F.lit(1)).alias("rows"))
+    late = df.groupBy(*keys).agg(F.min(date).alias("__first")).agg(F.lit(f"{name} late").alias("rule"), F.count_if(~F.coalesce(F.col("__first") <= F.lit(start).cast("date"), F.lit(False))).alias("rows"))
+    return own.unionByName(twice).unionByName(late)

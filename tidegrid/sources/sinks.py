@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def publish(tables: Mapping[str, DataFrame], folder: str, documents: Mapping[str, object] | None = None) -> None:
     """Writes every table as parquet under ``folder`` with ``table_index`` (table, rows) and ``documents`` (name, content).
 
-    Each table is written beside its place and renamed into it, so readers see the old or the new one.
+    Each table is written beside its place and swapped in whole.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
@@ -24,15 +24,41 @@ def publish(tables: Mapping[str, DataFrame], folder: str, documents: Mapping[str
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes parquet to a new directory and renames it over ``path``."""
+    """Writes parquet beside ``path`` and swaps it in: the old table is renamed aside, the new one in, and the old one is removed last.
+
+    A failed swap puts the old table back. One that was broken off between the renames leaves the old table aside; the
+    next call puts it back before it writes. Between the renames ``path`` is missing for an instant, never half written.
+    """
     spark = df.sparkSession
     jvm = spark._jvm
-    new, target = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
+    new, old, target = (jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", ".old", ""))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
     df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(target, True)
+    aside = fs.exists(target)
+    if aside and not fs.rename(target, old):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(new, target):
+        if aside:
+            fs.rename(old, target)
         raise OSError(f"{path} could not be replaced")
+    if aside:
+        fs.delete(old, True)
+
+
+def save_models(fits: DataFrame, groups: Mapping[str, Sequence[str]], folder: str) -> None:
+    """Fitted models (rows of coefficients) with the columns of their groups, as two tables under ``folder``."""
+    replace(fits, f"{folder}/fits")
+    replace(fits.sparkSession.createDataFrame([(k, list(v)) for k, v in groups.items()], "model string, columns array<string>"), f"{folder}/groups")
+
+
+def load_models(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """What ``save_models`` wrote: the fits and the columns of each group."""
+    return spark.read.parquet(f"{folder}/fits"), {r["model"]: list(r["columns"]) for r in spark.read.parquet(f"{folder}/groups").collect()}
 
 
 def published(spark: SparkSession, folder: str) -> list[str]:
@@ -56,6 +82,14 @@ def manifest(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def release_manifest(spark: SparkSession, folder: str, **facts: object) -> dict[str, object]:
+    """What a release holds: its tables with their rows, the files with lengths and hashes, and ``facts`` such as versions or settings."""
+    rows = spark.read.parquet(f"{folder}/table_index").orderBy("table").collect()
+    files = manifest(spark, f"{folder}/*/*.parquet").orderBy("path").collect()
+    held = [{"path": "/".join(r["path"].rsplit("/", 2)[1:]), "length": r["length"], "sha256": r["sha256"]} for r in files]
+    return {"tables": {r["table"]: r["rows"] for r in rows}, "files": held, "spark": spark.version, **facts}
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small table as Markdown, floats with 4 decimals; larger ones are refused."""
     rows = df.limit(most + 1).collect()
