@@ -132,8 +132,13 @@ def q_bh_fdr(spark, d):
     return rounded(evaluate.benjamini_hochberg(p, ["k"], "p", "m"), "q_value_bh")
 
 
+def exact_mean(c: str):
+    """The mean, in millionths, of values of 6 places: a sum of whole numbers, the same in any order."""
+    return F.sum(F.round(F.col(c) * 1_000_000).cast("bigint")).cast("double") / F.count(F.lit(1))
+
+
 DRAWS, BLOCKS = 500, (20, 60, 120)
-BOOTSTRAP = f"""pr AS (SELECT date, max(label) AS label, round(avg(score), 6) AS model, round(avg(p), 3) AS reference, row_number() OVER (ORDER BY date) - 1 AS i FROM ev WHERE label IS NOT NULL GROUP BY date),
+BOOTSTRAP = f"""pr AS (SELECT date, max(label) AS label, sum(round(score * 1000000)::BIGINT)::DOUBLE / count(*) AS model, sum(round(p * 1000000)::BIGINT)::DOUBLE / count(*) AS reference, row_number() OVER (ORDER BY date) - 1 AS i FROM ev WHERE label IS NOT NULL GROUP BY date),
 cnt AS (SELECT count(*) AS n FROM pr), bl AS (SELECT unnest({list(BLOCKS)}) AS bs), pl AS (SELECT bs, n, least(bs, n) AS b FROM bl, cnt),
 st AS (SELECT bs, n, b, draw, k, (draw * 7919 + k * 104729 + (b * 31 + 42)) % 2147483647 + 1 AS a FROM (SELECT *, unnest(range((n + b - 1) // b)) AS k FROM pl), range({DRAWS}) d(draw)),
 s1 AS (SELECT *, a * 48271 % 2147483647 AS x FROM st), s2 AS (SELECT * REPLACE ((x * x + a) % 2147483647 AS x) FROM s1), s3 AS (SELECT * REPLACE ((x * x + a) % 2147483647 AS x) FROM s2),
@@ -146,7 +151,7 @@ ag AS (SELECT bs, count(*) FILTER (draw >= 0) AS draws, max(d) FILTER (draw < 0)
 SELECT bs::INT AS block_sessions, draws, round(w, 8) AS ap_difference, {', '.join(f"round(list_aggregate(l, 'quantile_cont', {q!r}), 8) AS {c}" for c, q in (('lower95', 0.025), ('upper95', 0.975), ('lower_bonferroni', 0.05 / 3 / 2), ('upper_bonferroni', 1 - 0.05 / 3 / 2)))}, round(s, 8) AS share_draws_favouring_model, round(greatest(1 / 501, least(1, 2 * least(s, 1 - s))), 8) AS p_approx FROM ag""")
 def q_block_bootstrap(spark, d):
     """Difference in average precision of the drawdown and the price as scores, over moving blocks of the days' means."""
-    x = scored(spark, d).filter(LABELLED).groupBy("date").agg(F.max("label").alias("label"), F.round(F.avg("score"), 6).alias("model"), F.round(F.avg("p"), 3).alias("reference"))
+    x = scored(spark, d).filter(LABELLED).groupBy("date").agg(F.max("label").alias("label"), *(exact_mean(c).alias(n) for c, n in (("score", "model"), ("p", "reference"))))
     out = evaluate.bootstrap_difference(x, "model", "reference", "date", BLOCKS, DRAWS, family=3)
     return rounded(out, *(c for c in out.columns if c not in ("block_sessions", "draws")), digits=8)
 
