@@ -23,18 +23,22 @@ def chunk_of(k: int) -> int:
     return max(CHUNK, CHUNK_WINDOWS * k)
 
 
-def dense_panel(prices: DataFrame, entity: Sequence[str], member: str, price: str, date: str = "date") -> DataFrame:
+def dense_panel(prices: DataFrame, entity: Sequence[str], member: str, price: str, date: str = "date", dates: bool = True) -> DataFrame:
     """Every member on every session of its entity from its first price on, missing prices null: entity, member, session, date, price.
 
     Sessions are the entity's distinct dates. Each price row is spread over the sessions up to the member's next one, by
-    session numbers, so no cross join is made; after its last price a member has no rows.
+    session numbers, so no cross join is made; after its last price a member has no rows. Without ``dates`` the rows between
+    prices have no date, which saves a join of the whole panel with the calendar and the exchange behind it; the windows over it
+    go by session.
     """
     calendar = sessions(prices, entity, date)
     at = prices.select(*entity, member, date, price).join(calendar, [*entity, date])
     s = Series([*entity, member], "session")
     gap = F.coalesce(F.lead("session").over(s.window()) - F.col("session"), F.lit(1))
-    rows = at.withColumn("__gap", gap).withColumn("__k", F.explode(F.sequence(F.lit(0).cast(at.schema["session"].dataType), F.col("__gap") - 1))).select(*entity, member, (F.col("session") + F.col("__k")).alias("session"), F.when(F.col("__k") == 0, F.col(price)).alias(price))
-    return rows.join(calendar, [*entity, "session"])
+    rows = at.withColumn("__gap", gap).withColumn("__k", F.explode(F.sequence(F.lit(0).cast(at.schema["session"].dataType), F.col("__gap") - 1)))
+    own = lambda c: F.when(F.col("__k") == 0, F.col(c)).alias(c)
+    rows = rows.select(*entity, member, (F.col("session") + F.col("__k")).alias("session"), own(date), own(price))
+    return rows.drop(date).join(calendar, [*entity, "session"]) if dates else rows
 
 
 def returns(dense: DataFrame, entity: Sequence[str], member: str, price: str) -> DataFrame:
@@ -50,9 +54,9 @@ def complete_windows(panel: DataFrame, entity: Sequence[str], member: str, value
 
 
 def coverage(marked: DataFrame, entity: Sequence[str], member: str, price: str, by: str) -> DataFrame:
-    """Coverage of a panel with ``complete`` by session date (``by`` = 'date') or by member (``by`` = 'member')."""
-    if by == "date":
-        return marked.groupBy(*entity, "date").agg(F.count(F.lit(1)).alias("expected"), F.count(price).alias("priced"), F.count_if("complete").alias("eligible"), F.count_if(~F.col("complete")).alias("excluded"))
+    """Coverage of a panel with ``complete`` by ``session`` or by member (``by`` = 'member')."""
+    if by == "session":
+        return marked.groupBy(*entity, "session").agg(F.count(F.lit(1)).alias("expected"), F.count(price).alias("priced"), F.count_if("complete").alias("eligible"), F.count_if(~F.col("complete")).alias("excluded"))
     out = marked.groupBy(*entity, member).agg(
         F.count(F.lit(1)).alias("sessions"), F.count(price).alias("valid_prices"), F.count_if("complete").alias("eligible_sessions"),
         F.min(F.when(F.col(price).isNotNull(), F.col("date"))).alias("first_valid"), F.max(F.when(F.col(price).isNotNull(), F.col("date"))).alias("last_valid"),
@@ -341,15 +345,16 @@ def ols_residual(series: DataFrame, keys: Sequence[str], target: str, regressors
 
     @F.pandas_udf("double")
     def residual(history: pd.Series, now: pd.Series) -> pd.Series:
-        out = []
-        for h, x in zip(history, now):
-            if x is None or h is None or len(h) < least:
-                out.append(None)
-                continue
-            a, b = np.stack(h).astype(float), np.asarray(x, dtype=float)
-            beta = np.linalg.lstsq(np.column_stack([np.ones(len(a)), a[:, 1:]]), a[:, 0], rcond=None)[0]
-            out.append(float(b[0] - beta[0] - b[1:] @ beta[1:]))
-        return pd.Series(out, dtype="float64").astype(object).where(lambda s: s.notna(), None)
+        size = np.array([0 if x is None or h is None else len(h) for h, x in zip(history, now)])
+        out = np.full(len(size), np.nan)
+        for n in np.unique(size[size >= least]):  # windows of one length are solved together
+            at = np.flatnonzero(size == n)
+            a = np.array([np.stack(history.iloc[i]) for i in at], dtype=float)
+            x = np.array([now.iloc[i] for i in at], dtype=float)
+            design = np.concatenate([np.ones((len(at), n, 1)), a[:, :, 1:]], axis=2)
+            beta = np.linalg.pinv(design, rcond=np.finfo(float).eps * max(design.shape[1:])) @ a[:, :, :1]
+            out[at] = x[:, 0] - beta[:, 0, 0] - (x[:, None, 1:] @ beta[:, 1:])[:, 0, 0]
+        return pd.Series(out).astype(object).where(np.isfinite(out), None)
 
     x = series.withColumn("__x", F.when(F.expr(whole), row))
     return x.withColumn("__h", F.collect_list("__x").over(frame)).withColumn("residual", residual("__h", "__x")).drop("__x", "__h")

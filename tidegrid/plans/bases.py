@@ -80,10 +80,10 @@ ev AS (SELECT *, score > 0.05 AS alarm FROM lab WHERE score IS NOT NULL)"""
 )
 
 
-def price_panel(spark: SparkSession, d: str) -> DataFrame:
-    """basket, symbol, session, date, p, r: every member on every session of its basket."""
+def price_panel(spark: SparkSession, d: str, dates: bool = False) -> DataFrame:
+    """basket, symbol, session, date, p, r: every member on every session of its basket; ``date`` is null where p is, unless asked for."""
     daily = daily_prices(spark, d)
-    return panels.returns(panels.dense_panel(daily, BASKET, "symbol", "p"), BASKET, "symbol", "p")
+    return panels.returns(panels.dense_panel(daily, BASKET, "symbol", "p", dates=dates), BASKET, "symbol", "p")
 
 
 PANEL = (

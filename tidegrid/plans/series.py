@@ -8,7 +8,7 @@ from ..functions import timeline as t
 from ..functions.values import capped_magnitude
 from ..operators import calendars, islands, panels
 from ..sources.tables import table
-from .bases import BASKET, DAY, FEED, PANEL, REV, REVENUE, SCORED, SPY, VIX, Catalogue, price_panel, revenue, scored, spy, text_date, vix_daily
+from .bases import BASKET, DAY, FEED, PANEL, REV, REVENUE, SCORED, SPY, VIX, Catalogue, daily_prices, price_panel, revenue, scored, spy, text_date, vix_daily
 
 cat = Catalogue()
 
@@ -249,7 +249,8 @@ COMPLETE = """, marked AS (SELECT *, coalesce(count(r) OVER w = 60 AND stddev_po
 @cat.add(f"WITH {PANEL}{COMPLETE} SELECT basket, {DAY}, count(*) AS expected, count(p) AS priced, count(*) FILTER (complete) AS eligible, count(*) FILTER (NOT complete) AS excluded FROM marked GROUP BY basket, date")
 def q_coverage_daily(spark, d):
     marked = panels.complete_windows(price_panel(spark, d), BASKET, "symbol")
-    return panels.coverage(marked, BASKET, "symbol", "p", "date").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    x = panels.coverage(marked, BASKET, "symbol", "p", "session")
+    return x.join(calendars.sessions(daily_prices(spark, d), BASKET), [*BASKET, "session"]).select("basket", text_date(), "expected", "priced", "eligible", "excluded")
 
 
 @cat.add(f"""WITH {PANEL}{COMPLETE}, c AS (SELECT basket, symbol, count(*) AS sessions, count(p) AS valid_prices, count(*) FILTER (complete) AS eligible_sessions, min(date) FILTER (p IS NOT NULL) AS a, max(date) FILTER (p IS NOT NULL) AS z FROM marked GROUP BY ALL)

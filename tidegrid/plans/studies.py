@@ -44,7 +44,7 @@ def q_feature_panel(spark, d):
 def q_exclusion_ledger(spark, d):
     """Why a member has no part in a session's window."""
     s = t.Series(["basket", "symbol"], "session")
-    x = panels.complete_windows(price_panel(spark, d), BASKET, "symbol").withColumn("n", F.count("r").over(s.trailing(60))).filter("not complete")
+    x = panels.complete_windows(price_panel(spark, d, dates=True), BASKET, "symbol").withColumn("n", F.count("r").over(s.trailing(60))).filter("not complete")
     reason = F.when(F.col("p").isNull(), "missing price").when(F.col("n") < 60, "incomplete window").otherwise("constant window")
     return x.select("basket", "symbol", text_date(), reason.alias("reason"))
 
