@@ -85,6 +85,14 @@ def test_crowded_series_give_the_same(spark):
     assert rows(plain) == rows(split) == rows(all_first)
 
 
+def test_a_crowded_series_in_many_spellings_is_found(spark):
+    from pyspark.sql import functions as F
+
+    spellings = F.array(*(F.lit(x + "hot" + y) for x in ("", " ", "'", '"') for y in ("", " ", "'", '"', "]")))
+    df = spark.range(2000).select(F.get(spellings, (F.col("id") % 20).cast("int")).alias("symbol"), F.lit("b").alias("basket"))
+    assert rolling.crowded_series(df, 1500, 10) == [("b", "HOT")] and rolling.crowded_series(df, 2500, 10) == []
+
+
 def test_grid(spark):
     days = [D(2024, 1, 1) + dt.timedelta(n) for n in range(120)]
     kept = [d for k, d in enumerate(days) if k % 9 not in (4, 5, 6)]

@@ -47,14 +47,15 @@ def last_daily(prices: DataFrame, crowded: int = CROWDED, most: int = MOST_CROWD
 
 
 def crowded_series(prices: DataFrame, crowded: int, most: int) -> list[tuple[str, str]]:
-    """Up to ``most`` + 1 (basket, canonical symbol) with more than ``crowded`` rows.
+    """Up to ``most`` + 1 (basket, canonical symbol) with more than ``crowded`` rows, however they are spelled.
 
-    Rows are first counted by a hash of the key, which costs little; only if some hash has many are keys counted.
+    A crowded series lies in a basket with as many rows, so rows are first counted by a hash of the basket, which costs little;
+    only if some hash has that many are the spellings counted, which are then summed up by their canonical form.
     """
-    bucket = F.pmod(F.hash("basket", "symbol"), F.lit(1 << 20))
-    if not prices.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded // 8).take(1):
+    bucket = F.pmod(F.hash("basket"), F.lit(1 << 20))
+    if not prices.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).take(1):
         return []
-    count = prices.groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded // 8)
+    count = prices.groupBy("basket", "symbol").agg(F.count(F.lit(1)).alias("n"))
     found = count.groupBy("basket", canonical_symbol("symbol").alias("symbol")).agg(F.sum("n").alias("n"))
     found = found.filter((F.col("n") > crowded) & F.col("symbol").isNotNull() & F.col("basket").isNotNull())
     return [(r["basket"], r["symbol"]) for r in found.select("basket", "symbol").limit(most + 1).collect()]

@@ -77,7 +77,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.explode_positions(packed.split_packed(rows, "tickers"), "values", value="ticker").select("snapshot_id", "pos", "ticker")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_attributes, p3_found, p3_grid, p4_found, p4_reasons, p5_found, p5_totals, p6_found)}
+def p6_guided(spark: SparkSession, d: str) -> DataFrame:
+    """The values of every delivery packed anew, unquoted, between ``;`` and with a blank before the share class, and cut by the dictionary of the column."""
+    rows = table(spark, d, "membership").select("snapshot_id", "tickers")
+    again = F.array_join(F.transform("values", lambda v: F.replace(v, F.lit("-"), F.lit(" "))), ";")
+    packed_anew = packed.split_packed(rows, "tickers").select("snapshot_id", again.alias("packed"))
+    cut = packed.split_packed(packed_anew, "packed", packed.value_dictionary(rows, "tickers"))
+    return packed.explode_positions(cut, "values", value="ticker").select("snapshot_id", "pos", "ticker")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p2_attributes, p3_found, p3_grid, p4_found, p4_reasons, p5_found, p5_totals, p6_found, p6_guided)}
 
 _VALUES = """regexp_extract_all(tickers, '"[^"]*"|''[^'']*''|“[^”]*”|[^,;|，\\s\\x{00A0}\\[\\]{}"''“”]+')"""
 _CANON = """replace(replace(replace(replace(replace(upper(trim({}, ' "''“”[]{{}}' || chr(9) || chr(160))), '.', '-'), '/', '-'), ',', '-'), ';', '-'), ' ', '-')"""
@@ -145,5 +154,9 @@ SQL: dict[str, str] = {
     "p3_grid": f"WITH {_fit_sql()} SELECT feed, series, {_DAY}, round(exp(coalesce(y, fit + rb + (ra - rb) * (date - db) / (da - db))), 4) AS value, y IS NULL AS filled FROM near WHERE isodow(date) < 6",
     "p5_found": f"WITH {_DENSE} SELECT basket, symbol, {_DAY}, 7 AS days FROM rolled WHERE n_7 = 0 UNION ALL SELECT basket, symbol, {_DAY}, 30 FROM rolled WHERE n_30 = 0",
     "p5_totals": f"WITH {_DENSE} SELECT basket, symbol, {_DAY}, n_7, round(total_7, 4) AS total_7, round(total_7, 4) / nullif(n_7, 0) AS avg_7, n_30, round(total_30, 4) AS total_30, round(total_30, 4) / nullif(n_30, 0) AS avg_30 FROM rolled",
+    "p6_guided": f"""WITH {_PARTS}, one AS (SELECT DISTINCT snapshot_id, unnest(names) AS v FROM full_parts), known AS (SELECT v FROM one GROUP BY v HAVING count(*) >= 2),
+vals AS (SELECT snapshot_id, i, names[i] AS v FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM full_parts)),
+cut AS (SELECT snapshot_id, i, unnest(CASE WHEN k.v IS NOT NULL THEN [vals.v] ELSE list_filter(string_split(vals.v, '-'), lambda x: x <> '') END) AS ticker, unnest(range(CASE WHEN k.v IS NOT NULL THEN 1 ELSE len(list_filter(string_split(vals.v, '-'), lambda x: x <> '')) END)) AS j FROM vals LEFT JOIN known k ON k.v = vals.v)
+SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY i, j)::INT AS pos, ticker FROM cut""",
     "p6_found": f"WITH {_PARTS} SELECT snapshot_id, i::INT AS pos, names[i] AS ticker FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM full_parts)",
 }
