@@ -147,3 +147,65 @@ def test_rows_and_edges(spark, labelled):
     assert reading.reading_levels(docs.filter("false"), labels).count() == 0
     few = labels.withColumn("level", F.lit(None).cast("int"))
     assert reading.reading_levels(docs.limit(5), few).filter("level <> 2").count() == 0
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """4,600 short documents, 4,300 of them labelled, those of the greatest hashes as level 3 with words of their own."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    common = np.array("dog cat gate bench rule law court sum the of".split())
+    late = {r[0] for r in spark.range(4300).orderBy(F.xxhash64("id").desc()).limit(290).collect()}
+    level = [3 if k in late else 1 + k % 3 for k in range(4600)]
+    texts = [". ".join(" ".join([*rng.choice(common, 3 + 2 * v), *(["estoppel"] if k in late or k >= 4500 else [])]) for _ in range(3)) + "." for k, v in enumerate(level)]
+    docs = spark.createDataFrame([(k, t, ("en", "deu", "x")[k % 3]) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(k, v) for k, v in enumerate(level[:4300])] + [(0, 3), (0, 2)], "doc_id bigint, level int")
+    return docs, labels, late
+
+
+def test_every_label_is_learned_from(spark, many):
+    docs, labels, late = many
+    unlabelled = lambda found: {r["doc_id"]: (r["difficulty"], r["surprisal_gap"]) for r in found.filter("doc_id >= 4500").collect()}
+    every = unlabelled(reading.reading_levels(docs, labels))
+    fewer = unlabelled(reading.reading_levels(docs, labels.filter(~labels.doc_id.isin(list(late)))))
+    assert len(every) == 100 and all(every[k] != fewer[k] for k in every)
+    assert np.mean([every[k][1] for k in every]) > np.mean([fewer[k][1] for k in every]) + 0.05  # the word is known as demanding
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_summed_by_spark_as_fitted_in_memory(spark, many, monkeypatch, request, broadcast):
+    docs, labels, _ = many
+    if not broadcast:
+        monkeypatch.setattr(reading, "MAX_BROADCAST", 10)
+        monkeypatch.setattr(reading, "BUCKET", 500)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    data = docs.join(reading.mean_levels(labels), "doc_id").select("doc_id", "text", "__level", reading.normal_language("lang"), "__fold").collect()
+    ids, texts, y, langs, fold = zip(*data)
+    assert len(ids) == 4300 and y[ids.index(0)] == 2 and np.ptp(np.bincount(fold, minlength=reading.FOLDS)) <= 9
+    want = reading.Levels(ids, texts, y, [x or "" for x in langs], fold)
+    packed, scales = reading.fit_levels(docs, reading.mean_levels(labels))
+    got = reading.Levels.unpack(packed)
+    assert (got.words, got.langs, got.layout) == (want.words, want.langs, want.layout)
+    assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("keys", "pair_counts", "word_counts", "spoken"))
+    assert got.word_counts.sum() == sum(len(want.layout.tokens(t)) for t in texts) and len(scales) == 2
+    assert all(np.allclose(a.weights, b.weights) and np.allclose(a.center, b.center) for a, b in zip(scales, want.scales))
+    found = {r["doc_id"]: r["difficulty"] for r in reading.reading_levels(docs, labels).collect()}
+    assert len(found) == 4600
+    assert np.allclose([found[k] for k in ids], want.difficulty(texts, ids)[:, 2])
+    rest = docs.filter("doc_id >= 4300").collect()
+    assert np.allclose([found[r["doc_id"]] for r in rest], want.difficulty([r["text"] for r in rest], [None] * len(rest))[:, 2])
+
+
+def test_layout_from_counts_in_parts():
+    rulings = [f"Court\n{head}\n" + "Hard words stand here in a long line of prose today.\n" * n + f"[1] The dog ran home at once.\n{end}: dismissed." for head, end, n in [("A", "X", 1), ("A", "X", 4), ("B", "Y", 2), ("A", "Y", 3)] * 30 + [("C", "Z", 9)] * 2]
+    parts = [(*k, n) for some in (rulings[:50], rulings[50:]) for k, n in reading.Layout.found(some).items()]
+    assert reading.Layout.made(parts) == reading.Layout.of(rulings) == reading.Layout(frozenset("ab"), frozenset("xy"), 4)
+
+
+def test_equal_indexes_have_one_level():
+    x, y = np.array([0.0, 0, 0, 1, 1]), np.array([1.0, 2, 3, 2, 3])
+    for order in ([0, 1, 2, 3, 4], [2, 1, 0, 4, 3], [1, 4, 0, 2, 3]):
+        at, value = reading.isotonic(x[order], y[order])
+        assert np.allclose(np.interp([0, 1], at, value), [2, 2.5])

@@ -12,16 +12,19 @@ import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents train the models; of more, those with the least hash of their id.
-MAX_LABELLED = 4000
+#: Up to so many labelled ids are broadcast to the documents; with more, Spark chooses the join. The rows are the same.
+MAX_BROADCAST = 4_000_000
+#: About so many labelled ids are numbered by one task.
+BUCKET = 100_000
 #: Weights of the word pair, the word and the uniform model.
 MIX = (0.7, 0.25, 0.05)
 FOLDS = 5
@@ -104,7 +107,7 @@ def is_prose(line: str) -> bool:
 
 @dataclass(frozen=True)
 class Layout:
-    """How the rulings of a corpus are set, as its labelled sample shows it."""
+    """How the rulings of a corpus are set, as its labelled documents show it."""
 
     headings: frozenset[str] = frozenset()  #: short lines that stand over a headnote
     closings: frozenset[str] = frozenset()  #: words that open the order at the end of a ruling
@@ -114,25 +117,45 @@ class Layout:
     def of(texts: Sequence[str]) -> Layout:
         """Learned from rulings with numbered paragraphs: what comes before the first number is no reasoning, so a short line
         over prose there is a heading, and the last ``word:`` at the start of a line opens the order."""
-        over, last, counts, numbered = Counter(), Counter(), defaultdict(list), 0
+        return Layout.made([(*k, n) for k, n in Layout.found(texts).items()])
+
+    @staticmethod
+    def found(texts: Iterable[str]) -> Counter[tuple[str, str, int]]:
+        """How often each is in the texts: ("numbered", "", 0), ("over", heading, lines of prose below it), ("last", word, 0)."""
+        out: Counter[tuple[str, str, int]] = Counter()
         for text in map(plain, texts):
             if not (number := NUMBER.search(text)):
                 continue
-            numbered += 1
+            out["numbered", "", 0] += 1
             lines = [x.strip() for x in text[: number.start()].split("\n") if x.strip()]
             prose = [is_prose(x) for x in lines]
             for k in range(len(lines) - 1):
                 if prose[k + 1] and not prose[k]:
-                    over[lines[k].casefold()] += 1
-                    counts[lines[k].casefold()].append(sum(prose[k + 1 :]))
+                    out["over", lines[k].casefold(), sum(prose[k + 1 :])] += 1
                     break
             labels = LABEL.findall(text, number.end())
             if labels:
-                last[labels[-1].casefold()] += 1
-        enough = max(2, HEADING_SHARE * numbered)
-        headings = frozenset(x for x, n in over.items() if n >= enough)
-        usual = [n for x in headings for n in counts[x]]
-        return Layout(headings, frozenset(x for x, n in last.items() if n >= enough), int(np.quantile(usual, 0.95, method="higher")) if usual else 0)
+                out["last", labels[-1].casefold(), 0] += 1
+        return out
+
+    @staticmethod
+    def enough(numbered: int) -> float:
+        """How many rulings must have a heading or a word."""
+        return max(2, HEADING_SHARE * numbered)
+
+    @staticmethod
+    def made(found: Iterable[tuple[str, str, int, int]]) -> Layout:
+        """The layout of what ``found`` counts, summed up by its three keys; what is too seldom may be left out before."""
+        found = list(found)
+        total: Counter[tuple[str, str]] = Counter()
+        for kind, word, _, n in found:
+            total[kind, word] += n
+        enough = Layout.enough(total["numbered", ""])
+        named = {kind: frozenset(w for (k, w), n in total.items() if k == kind and n >= enough) for kind in ("over", "last")}
+        usual = sorted((lines, n) for kind, word, lines, n in found if kind == "over" and word in named["over"])
+        upto = np.cumsum([n for _, n in usual])
+        at = np.searchsorted(upto, np.ceil(0.95 * (upto[-1] - 1)), side="right") if usual else 0
+        return Layout(named["over"], named["last"], usual[at][0] if usual else 0)
 
     def reasoning(self, text: str) -> str:
         """The ruling's own reasoning: no headers, headnotes, page lines, order, quotations or bracketed references.
@@ -203,6 +226,16 @@ class Tables:
         return -np.log(self.own[words] + np.where((self.keys[at] == asked)[:, None], self.shares[at], 0.0))
 
 
+def seen_in(coded: Iterable[Sequence[str]]) -> Counter[str]:
+    """In how many texts each word is."""
+    return Counter(w for words in coded for w in set(words))
+
+
+def vocabulary(seen: Counter[str]) -> list[str]:
+    """The words of more than one text."""
+    return sorted(w for w, n in seen.items() if n > 1)
+
+
 class Numbers(dict):
     """The number of each word, 0 for words that are not in it."""
 
@@ -233,45 +266,67 @@ def weighted_quartiles(values: np.ndarray, weights: np.ndarray, group: np.ndarra
 
 
 class Levels:
-    """The fitted models and the monotone map, as counts whose number is bounded by the labelled sample.
+    """The fitted models and the monotone map, as counts of words and of pairs of words by fold and level.
 
     Counts are kept by fold of the labelled documents: such a document is always measured by models without its fold, when
     the map is fitted and when it is graded; all others by models of all folds.
     """
 
-    def __init__(self, docs: Sequence[int], texts: Sequence[str], levels: Sequence[float], langs: Sequence[str]):
+    def __init__(self, docs: Sequence[int], texts: Sequence[str], levels: Sequence[float], langs: Sequence[str], fold: Sequence[int] | None = None):
+        """Fitted on texts at hand; ``fit_levels`` does the same on a table."""
         self.layout = Layout.of(texts)
         coded = [self.layout.tokens(t) for t in texts]
-        y = np.array(levels, dtype=float)
-        seen = Counter(w for words in coded for w in set(words))
-        self.words = sorted(w for w, n in seen.items() if n > 1)
-        self.langs = sorted({x for x in langs if x}) or [""]
-        fold = np.arange(len(coded)) % FOLDS
+        fold = np.arange(len(coded)) % FOLDS if fold is None else np.array(fold, dtype=int)
         self.fold = {d: int(f) for d, f in zip(docs, fold)}
+        self.words = vocabulary(seen_in(coded))
+        self.langs = sorted({x for x in langs if x}) or [""]
         self.prepare()
-        ids = [self.number(words) for words in coded]
+        ids, y = [self.number(words) for words in coded], np.array(levels, dtype=float)
+        self.fill(*self.counted(ids, fold, y, langs))
+        x, tongue = self.measure_by_fold(ids, fold)
+        self.scales = scales(tongue, x, y, len(self.langs))
+
+    @staticmethod
+    def unfilled(layout: Layout, words: list[str], langs: list[str]) -> Levels:
+        """Without counts and scales."""
+        out = Levels.__new__(Levels)
+        out.layout, out.words, out.langs, out.fold = layout, words, langs, {}
+        out.prepare()
+        return out
+
+    def counted(self, ids: Sequence[np.ndarray], fold: np.ndarray, y: np.ndarray, langs: Sequence[str]) -> tuple[np.ndarray, ...]:
+        """Kind (0 pair, 1 word, 2 word by language), key, cell and number of what occurs in texts; kind, key and cell are
+        distinct. The cell of the first two is fold x 3 + level - 1, of the third the language."""
+        size = len(self.words) + 1
+        cell = np.asarray(fold, dtype=np.int64) * 3 + np.clip((y + 0.5).astype(np.int64), 1, 3) - 1
+        tongue = np.array([self.langs.index(x) if x in self.langs else -1 for x in langs], dtype=np.int64)
+        length = np.array([len(i) for i in ids], dtype=np.int64)
+        words = np.concatenate([np.zeros(0, dtype=np.int64), *ids])
+        owner = np.repeat(np.arange(len(ids)), length)
+        second = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        spoken = tongue[owner] >= 0
+        every = []
+        for kind, key, of, cells in (
+            (0, words[second - 1] * size + words[second], cell[owner[second]], 3 * FOLDS),
+            (1, words, cell[owner], 3 * FOLDS),
+            (2, words[spoken], tongue[owner[spoken]], len(self.langs)),
+        ):
+            codes, n = np.unique(key * cells + of, return_counts=True)
+            every.append((np.full(len(codes), kind, dtype=np.int64), codes // cells, codes % cells, n.astype(np.int64)))
+        return tuple(np.concatenate(part) for part in zip(*every))
+
+    def fill(self, kind: np.ndarray, key: np.ndarray, cell: np.ndarray, n: np.ndarray) -> None:
+        """Takes what ``counted`` gives, summed over all texts."""
         size = len(self.words) + 1
-        self.spoken = np.zeros((len(self.langs), size), dtype=np.int32)
-        self.word_counts = np.zeros((size, FOLDS, 3), dtype=np.int32)
-        self.keys = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(i[:-1] * size + i[1:] for i in ids)]))
-        self.pair_counts = np.zeros((len(self.keys), FOLDS, 3), dtype=np.int32)
-        level = np.clip((y + 0.5).astype(int), 1, 3)
-        for i, f, v, lang in zip(ids, fold, level, langs):
-            self.word_counts[:, f, v - 1] += np.bincount(i, minlength=size).astype(np.int32)
-            np.add.at(self.pair_counts[:, f, v - 1], np.searchsorted(self.keys, i[:-1] * size + i[1:]), 1)
-            if lang in self.langs:
-                self.spoken[self.langs.index(lang)] += np.bincount(i, minlength=size).astype(np.int32)
+        pair, word, spoken = (np.flatnonzero(kind == k) for k in range(3))
+        self.keys = np.unique(key[pair])
+        self.pair_counts = np.zeros((len(self.keys), FOLDS, 3), dtype=np.int64)
+        self.pair_counts[np.searchsorted(self.keys, key[pair]), cell[pair] // 3, cell[pair] % 3] = n[pair]
+        self.word_counts = np.zeros((size, FOLDS, 3), dtype=np.int64)
+        self.word_counts[key[word], cell[word] // 3, cell[word] % 3] = n[word]
+        self.spoken = np.zeros((len(self.langs), size), dtype=np.int64)
+        self.spoken[cell[spoken], key[spoken]] = n[spoken]
         self.prepare()
-        x, tongue = np.zeros((len(ids), MEASURES)), np.zeros(len(ids), dtype=int)
-        for f in range(FOLDS):
-            mine = np.flatnonzero(fold == f)
-            x[mine], tongue[mine] = self.measure([ids[j] for j in mine], f)
-        everything = Scale(x, y)
-        self.scales = []
-        for g in range(len(self.langs)):  # languages differ in how long sentences are
-            mine = tongue == g
-            enough = min(np.count_nonzero(mine & (np.rint(y) == v)) for v in (1, 2, 3)) >= FEWEST
-            self.scales.append(Scale(x[mine], y[mine]) if enough else everything)
 
     def prepare(self) -> None:
         """What is derived from the counts."""
@@ -346,17 +401,24 @@ class Levels:
         tongue[use] = np.add.reduceat(self.affinity[ids], begin, axis=0).argmax(axis=1)
         return out, tongue
 
-    def difficulty(self, texts: Sequence[str], docs: Sequence[int | None]) -> np.ndarray:
-        """A row for each text: easy less demanding surprisal per word, surprisal of an average sentence, difficulty from 1 to 3."""
-        ids = [self.number(self.layout.tokens(t)) for t in texts]
-        fold = [self.fold.get(d) for d in docs]
-        out = np.zeros((len(texts), 3))
+    def measure_by_fold(self, ids: Sequence[np.ndarray], fold: Sequence[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``measure``, of every text by the models without its fold."""
+        x, tongue = np.zeros((len(ids), MEASURES)), np.zeros(len(ids), dtype=int)
         for f in set(fold):
             mine = np.array([k for k, g in enumerate(fold) if g == f], dtype=int)
-            x, tongue = self.measure([ids[k] for k in mine], f)
-            out[mine, 0], out[mine, 1] = x[:, 0] + x[:, 1], np.exp(x[:, 2])
-            for lang in np.unique(tongue):
-                out[mine[tongue == lang], 2] = self.scales[lang](x[tongue == lang])
+            x[mine], tongue[mine] = self.measure([ids[k] for k in mine], f)
+        return x, tongue
+
+    def difficulty(self, texts: Sequence[str], docs: Sequence[int | None]) -> np.ndarray:
+        """``grades`` of texts by the folds of the documents that the models were fitted on."""
+        return self.grades(texts, [self.fold.get(d) for d in docs])
+
+    def grades(self, texts: Sequence[str], fold: Sequence[int | None]) -> np.ndarray:
+        """A row for each text: easy less demanding surprisal per word, surprisal of an average sentence, difficulty from 1 to 3."""
+        x, tongue = self.measure_by_fold([self.number(self.layout.tokens(t)) for t in texts], fold)
+        out = np.column_stack([x[:, 0] + x[:, 1], np.exp(x[:, 2]), np.zeros(len(texts))])
+        for lang in np.unique(tongue):
+            out[tongue == lang, 2] = self.scales[lang](x[tongue == lang])
         return out
 
 
@@ -380,6 +442,17 @@ class Scale:
         return np.interp((x - self.center) / self.spread @ self.weights, *self.steps)
 
 
+def scales(tongue: np.ndarray, x: np.ndarray, y: np.ndarray, langs: int) -> list[Scale]:
+    """The scale of each language; languages differ in how long sentences are."""
+    own = {g: Scale(x[tongue == g], y[tongue == g]) for g in range(langs) if enough_labels(y[tongue == g])}
+    everything = Scale(x, y) if len(own) < langs else None
+    return [own.get(g, everything) for g in range(langs)]
+
+
+def enough_labels(y: np.ndarray) -> bool:
+    return min(np.count_nonzero(np.rint(y) == v) for v in (1, 2, 3)) >= FEWEST
+
+
 def ordinal_weights(z: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 1500) -> np.ndarray:
     """Weights, none below 0, of a proportional-odds model of the levels, by projected gradient steps."""
     w, cut = np.ones(z.shape[1]), np.array([-1.0, 1.0])
@@ -397,7 +470,7 @@ def ordinal_weights(z: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: i
 
 def isotonic(index: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nondecreasing fit of y on the index by pooling adjacent violators: right ends of blocks and their values."""
-    order = np.argsort(index, kind="stable")
+    order = np.lexsort((-y, index))  # one value for equal indexes
     blocks: list[list[float]] = []  # sum, count, left end, right end
     for i in order:
         blocks.append([float(y[i]), 1.0, float(index[i]), float(index[i])])
@@ -416,64 +489,213 @@ def normal_language(c: str):
     return F.when(x.isin("en", "eng"), "en").when(x.isin("de", "deu", "ger"), "de").when(x.isin("fr", "fra", "fre"), "fr")
 
 
-def fit_levels(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> bytes:
-    """The packed ``Levels`` of at most ``limit`` labelled documents, those with letters; raters of one document are averaged.
+MEASURED = "tongue int, y double, " + ", ".join(f"x{k} double" for k in range(MEASURES))
+
+
+def together(rows: Iterable[tuple], text: int, most: int = TOGETHER, chars: int = TOGETHER_CHARS) -> Iterator[list[tuple]]:
+    """Lists of rows, cut behind ``most`` rows or ``chars`` characters of their text."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text])
+        if len(held) >= most or size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns))
+
+
+def record(columns: Sequence, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
+
+
+def mean_levels(labels: DataFrame) -> DataFrame:
+    """doc_id, ``__level``, the mean over raters, and ``__fold`` of the labelled ids, to be joined with documents.
 
-    Ids are chosen first, from the labels alone. The chosen ones, a list of at most ``limit``, are broadcast to the documents, and
-    their texts meet in one task that fits the models; only the packed counts come back.
+    Folds are dealt out in the order of the ids' hashes, within buckets of about ``BUCKET`` ids, so that they are of one size.
     """
     mean = labels.filter("doc_id is not null and level between 1 and 3").groupBy("doc_id").agg(F.avg("level").alias("__level"))
-    chosen = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    sample = (
-        documents.select("doc_id", "text", normal_language("lang").alias("__lang"))
-        .filter(F.col("text").rlike(r"\p{L}"))
-        .join(F.broadcast(chosen), "doc_id")
-        .repartition(1)
-        .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    )
+    count, mark = mean.count(), F.xxhash64("doc_id")
+    dealt = Window.partitionBy(F.pmod(mark, F.lit(count // BUCKET + 1))).orderBy(mark, "doc_id")
+    folded = mean.select("doc_id", "__level", ((F.row_number().over(dealt) - 1) % FOLDS).alias("__fold"))
+    return F.broadcast(folded) if count <= MAX_BROADCAST else folded
+
+
+def fit_levels(documents: DataFrame, mean: DataFrame) -> tuple[bytes, list[Scale]]:
+    """The packed ``Levels`` of all labelled documents with letters and their scales, by counts that Spark sums up.
+
+    Four passes over the labelled documents: the layout, the words of the reasoning, the pairs of words by fold and level, and
+    the measures by models without the fold. Texts and their words stay on the executors' disks. The counts meet in one task
+    that packs them, the measures in a task of each language that fits its scale; the driver gets the layout, the words of
+    more than one text, the packed counts and the scales.
+    """
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return kept[-1]
+
+    try:
+        labelled = keep(
+            documents.select("doc_id", "text", normal_language("lang").alias("__lang"))
+            .filter(F.col("text").rlike(r"\p{L}"))
+            .join(mean, "doc_id")
+            .select("__fold", "__level", F.coalesce("__lang", F.lit("")).alias("__lang"), "text")
+        )
+        layout = learned_layout(keep(layout_counts(labelled)))
+        words = keep(labelled.mapInArrow(words_of(layout), "fold int, level double, lang string, words string"))
+        seen = words.select("words").mapInArrow(seen_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        known = [r["word"] for r in seen.filter("n > 1").select("word").collect()]
+        langs = sorted(r["lang"] for r in words.select("lang").distinct().collect() if r["lang"]) or [""]
+        unfilled = documents.sparkSession.sparkContext.broadcast((layout, sorted(known), langs))
+        counts = words.mapInArrow(count_words(unfilled), "kind bigint, key bigint, cell bigint, n bigint")
+        summed = counts.groupBy("kind", "key", "cell").agg(F.sum("n").alias("n")).repartition(1)
+        packed = summed.mapInArrow(pack_counts(unfilled), "model binary").collect()
+        if not packed:
+            nothing = Levels([], [], [], [])
+            return nothing.pack(), nothing.scales
+        model = bytes(packed[0]["model"])
+        shared = documents.sparkSession.sparkContext.broadcast(model)
+        measured = keep(words.mapInArrow(measure_words(shared), MEASURED))
+        fitted = measured.repartition(len(langs), "tongue").mapInArrow(fit_scales(True), "tongue int, scale binary").collect()
+        own = {r["tongue"]: pickle.loads(r["scale"]) for r in fitted}
+        everything = None
+        if len(own) < len(langs):
+            everything = pickle.loads(measured.repartition(1).mapInArrow(fit_scales(False), "tongue int, scale binary").collect()[0]["scale"])
+        return model, [own.get(g, everything) for g in range(len(langs))]
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def layout_counts(labelled: DataFrame) -> DataFrame:
+    """``Layout.found`` of all texts: kind, word, ``total`` and the pairs (lines, n) it is made of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if found := Layout.found(t.as_py() for t in batch.column(0)):
+                yield record([*zip(*((*k, n) for k, n in found.items()))], "kind word lines n")
+
+    found = labelled.select("text").mapInArrow(run, "kind string, word string, lines bigint, n bigint")
+    summed = found.groupBy("kind", "word", "lines").agg(F.sum("n").alias("n"))
+    return summed.groupBy("kind", "word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lines", "n")).alias("by_lines"))
+
+
+def learned_layout(counts: DataFrame) -> Layout:
+    numbered = counts.filter("kind = 'numbered'").first()
+    enough = counts.filter(F.col("total") >= Layout.enough(numbered["total"] if numbered else 0)).collect()
+    return Layout.made((r["kind"], r["word"], lines, n) for r in enough for lines, n in r["by_lines"])
+
+
+def words_of(layout: Layout) -> Kernel:
+    """fold, level, lang and the words of the reasoning with blanks between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in together(rows_of(batch), 3):
+                fold, level, lang, text = zip(*rows)
+                yield record([pa.array(fold, pa.int32()), level, lang, [" ".join(layout.tokens(t)) for t in text]], "fold level lang words")
+
+    return run
+
+
+def seen_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if seen := seen_in(words.as_py().split() for words in batch.column(0)):
+            yield record([[*seen], [*seen.values()]], "word n")
+
+
+def count_words(unfilled) -> Kernel:
+    """``Levels.counted`` of many texts at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels.unfilled(*unfilled.value)
+        for batch in batches:
+            for rows in together(rows_of(batch), 3, len(batch), 16 * TOGETHER_CHARS):
+                fold, level, lang, words = zip(*rows)
+                yield record(levels.counted([levels.number(w.split()) for w in words], np.array(fold), np.array(level), lang), "kind key cell n")
+
+    return run
+
+
+def pack_counts(unfilled) -> Kernel:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if len(b)]
+        if parts:
+            levels = Levels.unfilled(*unfilled.value)
+            levels.fill(*map(np.concatenate, zip(*parts)))
+            yield record([[levels.pack()]], "model")
+
+    return run
+
+
+def measure_words(model) -> Kernel:
+    """The language, the label and the measures of each labelled document by models without its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels.unpack(model.value)
+        for batch in batches:
+            for rows in together(rows_of(batch), 3):
+                fold, y, _, words = zip(*rows)
+                x, tongue = levels.measure_by_fold([levels.number(w.split()) for w in words], fold)
+                yield pa.RecordBatch.from_arrays([pa.array(tongue.astype(np.int32)), pa.array(y), *map(pa.array, x.T)], ["tongue", "y", *(f"x{k}" for k in range(MEASURES))])
+
+    return run
+
+
+def fit_scales(by_language: bool) -> Kernel:
+    """The scale of each language of a partition that has enough labels, or of all rows as language 0; in an order of their own,
+    so that the sums don't depend on how rows arrive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        if rows:
-            packed = Levels([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["__level"] for r in rows], [r["__lang"] or "" for r in rows]).pack()
-            yield pa.RecordBatch.from_pydict({"model": [packed]})
+        parts = [np.column_stack([c.to_numpy() for c in b.columns]) for b in batches if len(b)]
+        rows = np.concatenate([np.zeros((0, MEASURES + 2)), *parts])
+        del parts
+        rows = rows[np.lexsort(rows.T[1 if not by_language else 0 :][::-1])]
+        for g in np.unique(rows[:, 0]) if by_language else [None]:
+            mine = rows if g is None else rows[rows[:, 0] == g]
+            if g is None or enough_labels(mine[:, 1]):
+                yield record([pa.array([int(g or 0)], pa.int32()), [pickle.dumps(Scale(np.ascontiguousarray(mine[:, 2:]), mine[:, 1].copy()))]], "tongue scale")
 
-    got = sample.mapInArrow(run, "model binary").collect()
-    return bytes(got[0]["model"]) if got else Levels([], [], [], []).pack()
+    return run
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, ``level`` 1 to 3, ``difficulty``, ``surprisal_gap`` and ``sentence_surprisal`` of every text with a letter.
 
-    Null, empty and letterless texts give no rows. Whole texts are read; nothing is shuffled but the labelled sample.
-    Without any labels every text gets level 2.
+    Null, empty and letterless texts give no rows. Whole texts are read, of labels all; a document is labelled if any rater gave it
+    a level. Without any labels every text gets level 2.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(fit_levels(documents, labels, limit))
+    mean = mean_levels(labels)
+    shared = documents.sparkSession.sparkContext.broadcast(fit_levels(documents, mean))
     fitted: list[Levels] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not fitted:
-            fitted.append(Levels.unpack(shared.value))
+            model, found = shared.value
+            fitted.append(Levels.unpack(model))
+            fitted[0].scales = found
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if text is None or not LETTER.search(text):
-                    continue
-                held.append((doc, text))
-                size += len(text)
-                if len(held) >= TOGETHER or size >= TOGETHER_CHARS:
-                    yield graded(held, batch.schema.field(0).type)
-                    held, size = [], 0
-            yield graded(held, batch.schema.field(0).type)
-
-    def graded(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        docs, texts = [d for d, _ in held], [t for _, t in held]
-        out = fitted[0].difficulty(texts, docs)
+            doc, text, fold = batch.columns
+            written = ((d, t, f) for d, t, f in zip(doc.to_pylist(), (x.as_py() for x in text), fold.to_pylist()) if t is not None and LETTER.search(t))
+            for rows in together(written, 1):
+                yield graded(rows, doc.type)
+
+    def graded(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        docs, texts, fold = zip(*rows)
+        out = fitted[0].grades(texts, fold)
         level = np.clip(np.floor(out[:, 2] + 0.5), 1, 3).astype(np.int32)
         columns = [pa.array(docs, kind), pa.array(level), pa.array(out[:, 2]), pa.array(out[:, 0]), pa.array(out[:, 1])]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "level", "difficulty", "surprisal_gap", "sentence_surprisal"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, level int, difficulty double, surprisal_gap double, sentence_surprisal double")
+    marked = documents.select("doc_id", "text").join(mean, "doc_id", "left").select("doc_id", "text", "__fold")
+    return marked.mapInArrow(run, f"doc_id {kind}, level int, difficulty double, surprisal_gap double, sentence_surprisal double")
